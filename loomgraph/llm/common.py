@@ -9,12 +9,15 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph import session
+
 #: Bytes of one Arrow batch sent to Python, so that very long texts don't fill a worker's memory.
 ARROW_BATCH_BYTES = "8m"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes."""
+    """Bound the Arrow batches by bytes; let workers import this package."""
+    session.ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
 
 

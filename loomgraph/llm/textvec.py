@@ -115,14 +115,21 @@ def spans(is_in: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends
 
 
+class SpanHasher:
+    """64-bit hashes of any spans of the given bytes."""
+
+    def __init__(self, low: np.ndarray):
+        self.pre = np.empty(len(low) + 1, U64)
+        self.pre[0] = 0
+        np.cumsum((low.astype(U64) + U64(1)) * powers(len(low)), out=self.pre[1:])
+        self.inverse = powers(len(low) + 1, inverse=True)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.pre[ends] - self.pre[starts]) * self.inverse[starts])
+
+
 def span_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes."""
-    n = len(low)
-    pre = np.empty(n + 1, U64)
-    pre[0] = 0
-    np.cumsum((low.astype(U64) + U64(1)) * powers(n), out=pre[1:])
-    h = (pre[ends] - pre[starts]) * powers(n + 1, inverse=True)[starts]
-    return mix(h)
+    return SpanHasher(low)(starts, ends)
 
 
 def word_hash(word: str) -> int:
@@ -143,3 +150,22 @@ def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     pre = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "bui" else np.float64)
     np.cumsum(values, out=pre[1:])
     return pre[bounds[1:]] - pre[bounds[:-1]]
+
+
+class Table:
+    """Values of hashes, looked up behind a bit table that most tokens don't pass."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(keys >> np.uint64(42)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are there, and their places in the given keys."""
+        maybe = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
+        if len(maybe) == 0 or len(self.keys) == 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+        hit = self.keys[at] == h[maybe]
+        return maybe[hit], self.order[at[hit]]
