@@ -218,9 +218,9 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_i
     columns = [f"`{c}`" for c in df.columns]
     groups = common.materialise(_grouped(_fingerprint_table(df, text, id_col), distance)[0])
     d, h, tie = "loomgraph_d", "loomgraph_h", "loomgraph_tie"
-    kept = groups.filter("first").select("d", "h")
-    gone = groups.filter("not first").join(kept, groups["d"].eqNullSafe(kept["d"]) & (groups["h"] == kept["h"]), "left_anti").select("d", "h").distinct()
-    ties = groups.groupBy("d", "h").agg(F.count("*").alias("rows"), F.max("first").alias("first")).filter("rows > 1 and first").select("d", "h")
+    rows = groups.groupBy("d", "h").agg(F.count("*").alias("rows"), F.max("first").alias("first"))
+    gone = rows.filter("not first").select("d", "h")
+    ties = rows.filter("rows > 1 and first").select("d", "h")
     docs = df.withColumns({d: F.col(f"`{id_col}`"), h: F.xxhash64(F.col(f"`{text}`").cast("string"))})
 
     def on(keys: DataFrame) -> F.Column:

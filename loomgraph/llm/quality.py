@@ -153,8 +153,8 @@ def marginals(odds: np.ndarray, bounds: np.ndarray, field: Field) -> np.ndarray:
 def train(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> Field:
     """Fit by Adam on the conditional likelihood; y has a label of each document.
 
-    A document's label isn't each line's: lines of bad documents that a plain logistic fit finds good beyond 0.9 are
-    first labelled good, and the reverse.
+    A document's label isn't each line's: in three rounds, a logistic fit to lines by themselves relabels the lines of
+    bad documents that it finds good, but for the worst of each.
     """
     mean, deviation = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(OWN), np.ones(OWN))
     full = with_neighbours((x - mean) / deviation, bounds).astype(np.float64)
@@ -166,18 +166,25 @@ def train(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, rounds: int = 150, r
         field.weight[-1] = 0 if len(y) == 0 else (4 if y[0] else -4)
         return field
     each = 1 / np.repeat(np.maximum(np.diff(bounds), 1), np.diff(bounds))  # a document's lines weigh one together
-    one, m, v = np.zeros(full.shape[1]), 0.0, 0.0
-    for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(full @ one, -30, 30)))
-        g = full.T @ ((p - line_y) * each) / each.sum() + ridge * one
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        one -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    p = 1 / (1 + np.exp(-np.clip(full @ one, -30, 30)))
-    line_y = np.where(p > 0.9, 1.0, np.where(p < 0.1, 0.0, line_y))
+    mine = np.append(np.arange(OWN), full.shape[1] - 1)  # a line by itself
+    alone = full[:, mine]
+    one, of = np.zeros(len(mine)), np.repeat(np.arange(len(y)), np.diff(bounds))
+    for _ in range(3):
+        m, v = 0.0, 0.0
+        for t in range(1, rounds + 1):
+            p = 1 / (1 + np.exp(-np.clip(alone @ one, -30, 30)))
+            g = alone.T @ ((p - line_y) * each) / each.sum() + ridge * one
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            one -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        z = alone @ one
+        worst = np.full(len(y), np.inf)
+        np.minimum.at(worst, of, z)
+        line_y = np.where((y[of] == 0) & ((z <= 0) | (z == worst[of])), 0.0, 1.0)
     cells = [(at, mask, line_y[at]) for _, at, mask in buckets(bounds)]
     rows = sum(len(at) for at, _, _ in cells)
-    theta = np.concatenate([one, np.zeros(6)])
-    k, m, v = len(one), np.zeros(len(theta)), np.zeros(len(theta))
+    theta = np.zeros(full.shape[1] + 6)
+    theta[mine] = one
+    k, m, v = full.shape[1], np.zeros(len(theta)), np.zeros(len(theta))
     seen_pairs, seen_start = np.zeros((2, 2)), np.zeros(2)
     for _, mask, lab in cells:
         seen_start += [np.sum(lab[:, 0] == 0), np.sum(lab[:, 0] == 1)]

@@ -18,7 +18,9 @@ SAMPLE_ROWS = 20_000
 #: Tokens' worth of the prior.
 PRIOR = 1000.0
 #: z of a token's log-odds from which it counts; what each other token costs; p-value from which a document is toxic.
-SIGNIFICANT, COST, ALPHA = 3.0, 0.5, 1e-4
+SIGNIFICANT, COST, ALPHA = 3.5, 1.0, 1e-5
+#: Most that one preceding word may have of a token's toxic occurrences; words of copied passages always follow the same.
+DOMINANCE = 0.5
 #: Tokens are words and, so that inflected forms share evidence, their first characters.
 PREFIXES = (4, 6)
 #: Toxic documents of the sample in which a token has to occur.
@@ -55,8 +57,8 @@ class Model:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, background: np.ndarray, n_toxic: float, n_clean: float, n_background: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds ratios under a Dirichlet prior in proportion to the background, and their z."""
-    a = PRIOR * (background + 0.5) / (n_background + 1)
+    """Log-odds ratios under a Dirichlet prior in proportion to the background (and a half for each token), and their z."""
+    a = PRIOR * background / (n_background + 1) + 0.5
     t, c = toxic + a, clean + a
     delta = np.log(t / np.maximum(n_toxic + PRIOR - t, 1)) - np.log(c / np.maximum(n_clean + PRIOR - c, 1))
     return delta, delta / np.sqrt(1 / t + 1 / c)
@@ -131,7 +133,11 @@ def score_rows(buf: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[list
 
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Token counts of a bounded sample of labelled documents, and of the candidates' background in all documents."""
+    """Token counts of a bounded sample of labelled documents, and of the candidates' background in all documents.
+
+    A token's toxic occurrences count once for each different word before them, so that copies of a document or passage
+    don't make its words toxic.
+    """
     spark = df.sparkSession
     common.prepare(spark)
     chosen = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("d")).agg(F.max(label).cast("int").alias("y"))
@@ -184,11 +190,28 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc
     bg = np.zeros(len(keys))
     back = back[back["i"] >= 0]
     bg[back["i"].to_numpy(np.int64)] = back["n"].to_numpy()
-    t, c = counted["t"].to_numpy(float), counted["c"].to_numpy(float)
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            buf, offsets = textvec.column(batch.column(0))
+            for a, b in textvec.chunks(offsets):
+                h, _, _, bounds = tokens(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                before = np.append(np.uint64(0), h[:-1, 0])[: len(h)]
+                before[bounds[:-1][bounds[:-1] < len(h)]] = 0
+                found = [table.find(h[:, i]) for i in range(h.shape[1])]
+                pair = np.stack([np.concatenate([w for _, w in found]), np.concatenate([before[at] for at, _ in found]).view(np.int64)], axis=1)
+                pair, n = np.unique(pair, axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(n)], names=["i", "before", "n"])
+
+    near = sample.filter("y = 1").select("t").mapInArrow(contexts, "i bigint, before bigint, n bigint").groupBy("i", "before").agg(F.sum("n").alias("n")).groupBy("i").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.sum("n").alias("n")).toPandas()
+    t, most = np.zeros(len(keys)), np.ones(len(keys))
+    at = near["i"].to_numpy(np.int64)
+    t[at], most[at] = near["kinds"], near["most"] / near["n"]
+    c = counted["c"].to_numpy(float)
     delta, z = log_odds(t, c, bg, n_t, n_c, max(total, 1))
-    good = (z >= SIGNIFICANT) & (delta > COST) if len(keys) else np.zeros(0, bool)
+    good = (z >= SIGNIFICANT) & (delta > COST) & (most <= DOMINANCE) if len(keys) else np.zeros(0, bool)
     score = delta[good] - COST
-    p = (c[good] + PRIOR * (bg[good] + 0.5) / (total + 1) * (c[good] + 0.5) / (c[good] + t[good] + 1)) / (n_c + PRIOR) if good.any() else np.zeros(0)
+    p = (c[good] + 0.5) / (n_c + PRIOR)
     slope = karlin_slope(score, p) if good.any() else 1.0
     model = Model(textvec.Table(keys[good]), score, slope, 1.0)
 

@@ -221,7 +221,7 @@ def test_leaks_by_template(spark):
     changed = {(r.doc_id, r.item_id): r.changed_slots for r in got}
     assert changed[1, 1] == 0 and changed[2, 1] >= 5
     kept = decontaminate.drop_leaks(df, bench)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in TEXTS} | {8} - {d for d, _ in want} - {d for d, _ in want}.union() or True
+    assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == ({d for d, _ in TEXTS} | {8}) - {d for d, _ in want}
 
 
@@ -360,10 +360,9 @@ def test_quality_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
     even = F.col("doc_id") % 2 == 0
-    out = quality.score_documents(d, quality.fit(d, labels.filter(even))).join(labels.filter(~even), "doc_id").toPandas()
-    y, q = out["quality"].iloc[:, -1].to_numpy() if out["quality"].ndim > 1 else None, None
-    good = out["good"].to_numpy()
-    assert (good == (y == 1)).mean() > 0.9
+    field = quality.fit(d, labels.filter(even))
+    out = quality.score_documents(d, field).join(labels.filter(~even).select("doc_id", F.col("quality").alias("y")), "doc_id").toPandas()
+    assert (out.good == (out.y == 1)).mean() > 0.9
 
 
 def test_quality_finds_the_bad_line():
@@ -377,8 +376,9 @@ def test_quality_finds_the_bad_line():
         return "".join(rng.choices("#$%&|*", k=3)).join(rng.choices(words, k=10))
 
     texts = ["\n".join(good() for _ in range(6)) for _ in range(60)] + ["\n".join(bad() for _ in range(6)) for _ in range(60)]
+    texts += ["\n".join((bad if i == j % 5 else good)() for i in range(5)) for j in range(60)]
     x, _, bounds = quality.features(*textvec.column(pa.array(texts)))
-    f = quality.train(x, bounds, np.repeat([1, 0], 60))
+    f = quality.train(x, bounds, np.repeat([1, 0, 0], 60))
     lines = [good(), good(), bad(), good(), good()]
     x, _, bounds = quality.features(*textvec.column(pa.array(["\n".join(lines)])))
     p = quality.marginals(f.odds(x, bounds), bounds, f)
@@ -402,14 +402,14 @@ def test_quality_awkward(spark):
 
 
 def brute_segments(scores):
-    """Maximal segments by the recursive definition."""
+    """Maximal segments by the recursive definition, the shortest of equal ones."""
     if not scores or max(scores) <= 0:
         return []
     pre = np.concatenate([[0], np.cumsum(scores)])
     best, at = 0, None
     for a in range(len(scores)):
         for b in range(a + 1, len(scores) + 1):
-            if pre[b] - pre[a] > best + 1e-9:
+            if pre[b] - pre[a] > best + 1e-9 or (at and pre[b] - pre[a] > best - 1e-9 and b - a < at[1] - at[0]):
                 best, at = pre[b] - pre[a], (a, b)
     a, b = at
     return brute_segments(scores[:a]) + [(a, b - 1, best)] + [(x + b, y + b, s) for x, y, s in brute_segments(scores[b:])]
@@ -418,12 +418,11 @@ def brute_segments(scores):
 def test_segments_match_the_definition():
     rng = random.Random(1)
     for _ in range(300):
-        s = [rng.choice([-0.5] * 4 + [0.25, 0.75, 1.25, 3.0]) for _ in range(rng.randint(0, 25))]
+        s = [rng.choice([-toxicity.COST] * 4 + [0.25, 0.75, 1.25, 3.0]) for _ in range(rng.randint(0, 25))]
         hot = [i for i, x in enumerate(s) if x > 0]
         got = toxicity.segments(np.array(hot, int), np.array([s[i] for i in hot], float))
-        assert sum(x for *_, x in got) == pytest.approx(sum(x for *_, x in brute_segments(s)))
-        best = max((x for *_, x in got), default=0)
-        assert best == pytest.approx(max((x for *_, x in brute_segments(s)), default=0))
+        want = brute_segments(s)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
 
 
 def test_tokens_and_prefixes():
