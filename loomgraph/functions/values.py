@@ -37,7 +37,7 @@ def number(c: Column, kind: str = "string") -> Column:
     if kind == "string":
         t = F.trim(c)
         return F.when(t == "", 0.0).when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
-    if kind in ("timestamp", "date"):
+    if kind.startswith(("timestamp", "date", "array", "map", "struct", "binary")):
         return F.lit(None).cast("double")
     return c.cast("double")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -25,18 +26,22 @@ def terms(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFram
     return t.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
+def _equal(word: str):
+    return lambda x: x == F.lit(word)
+
+
 def bm25(df: DataFrame, query: str, k: int = 10, k1: float = 1.5, b: float = 0.75, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, score) of the k best documents, ties by id.
 
     Only the query's words leave the scan: a document's words are counted in place, so nothing but its few frequencies
     is exchanged, and the corpus statistics are one aggregate.
     """
-    words = list(dict.fromkeys(w for w in __import__("re").findall("[a-z0-9]+", query.lower())))
+    words = list(dict.fromkeys(re.findall("[a-z0-9]+", query.lower())))
     if not words:
         return df.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     w = F.col("w")
     base = df.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    base = base.select("id", F.size("w").alias("length"), *[F.size(F.filter(w, lambda x, q=q: x == q)).alias(f"tf{i}") for i, q in enumerate(words)])
+    base = base.select("id", F.size("w").alias("length"), *[F.size(F.filter(w, _equal(q))).alias(f"tf{i}") for i, q in enumerate(words)])
     stats = base.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     hit = base.filter(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(words))])).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)

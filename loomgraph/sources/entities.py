@@ -21,9 +21,13 @@ def normalised(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[\s_-]+", " "))
 
 
+def _mention(rule: int, confidence: float):
+    return lambda x: F.struct(F.lit(rule).alias("rule"), x.alias("surface"), F.lit(confidence).alias("confidence"))
+
+
 def extract(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, entity, surface, confidence, place): of a text's mentions the first of each normalised form, in order of precedence."""
-    found = F.concat(*[F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), g), lambda x, k=k, c=c: F.struct(F.lit(k).alias("rule"), x.alias("surface"), F.lit(c).alias("confidence"))) for k, (_, p, g, c) in enumerate(PATTERNS)])
+    found = F.concat(*[F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), g), _mention(k, c)) for k, (_, p, g, c) in enumerate(PATTERNS)])
     m = df.select(F.col(id_col).alias("id"), F.posexplode(found).alias("at", "m")).select("id", "at", "m.*").withColumn("entity", normalised(F.col("surface"))).filter(F.length("entity") >= 3)
     one = m.groupBy("id", "entity").agg(F.min(F.struct("at", "surface", "confidence")).alias("b")).select("id", "entity", "b.*")
     return one.select("id", "entity", "surface", "confidence", F.row_number().over(Window.partitionBy("id").orderBy("at")).alias("place"))
