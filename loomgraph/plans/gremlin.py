@@ -85,8 +85,8 @@ class Traversal:
             self.need("node")
             names = sorted(g.property_names())
             p = g.nodes(None, names)
-            entries = F.array(*[F.struct(F.lit(n), F.col(f"`{n}`")) for n in names])
-            p = p.select("id", F.map_from_entries(F.filter(entries, lambda e: e["col2"].isNotNull())).alias("value"))
+            entries = F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"`{n}`").alias("v")) for n in names])
+            p = p.select("id", F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull())).alias("value"))
             self.df, self.kind = df.join(p, "id").select("value"), "map"
         elif name == "dedup":
             self.df = df.dropDuplicates()

@@ -80,7 +80,7 @@ def read_atomic(spark: SparkSession, path: str) -> DataFrame:
 
 # Turtle
 
-_TTL = re.compile(r'\s+|#[^\n]*|(?P<iri><[^<>"\s]*>)|(?P<long>"""(?:[^"\\]|\\.|"(?!""))*""")|(?P<str>"(?:[^"\\\n]|\\.)*")|(?P<lang>@[a-zA-Z][\w-]*)|(?P<dt>\^\^)|(?P<num>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<name>(?:_:)?[\w.-]*[\w-]?:?[\w%.-]*[\w%-]|\w*:)|(?P<op>[.;,()\[\]])')
+_TTL = re.compile(r'\s+|#[^\n]*|(?P<iri><[^<>"\s]*>)|(?P<long>"""(?:[^"\\]|\\.|"(?!""))*""")|(?P<str>"(?:[^"\\\n]|\\.)*")|(?P<lang>@[a-zA-Z][\w-]*)|(?P<dt>\^\^)|(?P<num>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<name>\w[\w-]*:(?=\s)|(?:_:)?[\w.-]*[\w-]?:?[\w%.-]*[\w%-]|\w*:)|(?P<op>[.;,()\[\]])')
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 
 
