@@ -14,6 +14,8 @@ from loomgraph.llm import bpe, common, encode, textvec
 
 #: Fills the last sequence of a document; not an id of the vocabulary.
 PAD = 65535
+#: Shards that one task writes at most.
+TASK_SHARDS = 64
 
 
 def permute(index: np.ndarray, size: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -40,7 +42,8 @@ def token_shards(df: DataFrame, key: int = 42, length: int = 512, per_shard: int
     documents.  Sequence i of N, in the order of the scan, gets slot ``permute(i, N, key)``; shard s holds the slots from
     ``s * per_shard`` on, each ``stride`` (``2 * length``) bytes of little-endian uint16, so slot x is at byte
     ``(x - first_slot) * stride`` and reading can resume anywhere.  The ids are encoded once and kept in the shared
-    folder, which also fixes the order for retried tasks; one shuffle then moves them to their shard.  Null and empty
+    folder, which also fixes the order for retried tasks; one shuffle then moves them to range partitions
+    of consecutive shards, as many to a task as :data:`TASK_SHARDS` allows, whatever the size of the input.  Null and empty
     texts have no sequence; null ids appear as null in ``doc_ids``; repeated rows are sequences of their own; an empty
     table gives no shard.  Other columns aren't read.
     """
@@ -117,7 +120,11 @@ def token_shards(df: DataFrame, key: int = 42, length: int = 512, per_shard: int
 
     placed = stored.select(slot("m").alias("slot"), "d", "seq")
     placed = placed.select(F.expr(f"slot div {per_shard}").alias("s"), "slot", "d", "seq")
-    return placed.repartition("s").sortWithinPartitions("s", "slot").mapInArrow(write, kinds)
+    count = -(-total // per_shard)
+    tasks_wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // TASK_SHARDS))
+    each = max(1, -(-count // tasks_wanted))  # consecutive shards of one task
+    ranges = placed.repartitionById(max(1, -(-count // each)), F.expr(f"cast(s div {each} as int)"))
+    return ranges.sortWithinPartitions("s", "slot").mapInArrow(write, kinds)
 
 
 def write_shards(shards: DataFrame, folder: str) -> DataFrame:
