@@ -205,9 +205,17 @@ for _name, _expr in _LINK.items():
     add(f"link_{_name}", f"WITH {_CO}, {_NB}, w AS (SELECT x.src AS a, y.src AS b, count(*) AS c, sum(CASE WHEN k > 1 THEN 1 / ln(k::DOUBLE) ELSE 0 END) AS aa, sum(1.0::DOUBLE / k) AS ra FROM nb x JOIN nb y ON x.dst = y.dst AND x.src < y.src JOIN dg ON v = x.dst GROUP BY 1, 2), j AS (SELECT w.*, p.k AS ka, q.k AS kb FROM w JOIN dg p ON p.v = a JOIN dg q ON q.v = b) SELECT a, b, {_expr} AS {_name} FROM j")(
         lambda spark, d, n=_name: graph.link_scores(co_purchase(spark, d)).select("a", "b", (F.round(n, 9) if n in ("jaccard", "adamic_adar", "resource_allocation") else F.col(n)).alias(n)))
 add("triangle_count", f"WITH {_CO}, {_NB} SELECT count(*) AS triangles FROM nb x JOIN nb y ON x.src < x.dst AND y.src = x.dst AND y.src < y.dst JOIN nb z ON z.src = x.src AND z.dst = y.dst")(lambda spark, d: graph.triangles(co_purchase(spark, d)).agg(F.count("*").alias("triangles")))
-add("betweenness")(lambda spark, d: graph.betweenness(co_purchase(spark, d, 3), directed=False))
-add("louvain")(lambda spark, d: graph.louvain(co_purchase(spark, d)))
-add("fastrp")(lambda spark, d: graph.fast_rp(co_purchase(spark, d), 32))
+# the same over all co-purchases; those above keep the pairs of two orders at least, as their SQL does
+_ALL = _CO.replace(" HAVING count(*) >= 2", "")
+for _name in ("sssp_cost", "lcc", "triangle_count"):
+    ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(_CO, _ALL)
+add("sssp_cost_whole")(lambda spark, d: (lambda e: graph.sssp(e, e.agg(F.min("src")).first()[0]))(co_purchase(spark, d, 1)))
+add("lcc_whole")(lambda spark, d: graph.lcc(co_purchase(spark, d, 1)).select("id", F.round("lcc", 9).alias("lcc")))
+add("triangle_count_whole")(lambda spark, d: graph.triangles(co_purchase(spark, d, 1)).agg(F.count("*").alias("triangles")))
+add("link_scores_whole")(lambda spark, d: graph.link_scores(co_purchase(spark, d, 1)))
+add("betweenness")(lambda spark, d: graph.betweenness(co_purchase(spark, d, 1), directed=False))
+add("louvain")(lambda spark, d: graph.louvain(co_purchase(spark, d, 1)))
+add("fastrp")(lambda spark, d: graph.fast_rp(co_purchase(spark, d, 1), 32))
 
 # retrieval
 
@@ -227,7 +235,7 @@ add("rrf_fuse", "WITH l AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY
 add("chunk_documents", "SELECT doc_id, i::INT AS chunk_index, substring(text, (i * 1300 + 1)::BIGINT, 1500) AS text FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 1500 THEN 1 ELSE ceil((length(text) - 1500) / 1300.0)::BIGINT + 1 END)) AS i FROM documents WHERE length(text) > 0)")(
     lambda spark, d: retrieval.chunk_documents(table(spark, d, "documents")))
 add("geodesic")(lambda spark, d: retrieval.geodesic_nearest(retrieval.manifold(table(spark, d, "embeddings"), 5), 0, 20))
-add("explore_from")(lambda spark, d: retrieval.explore_from(co_purchase(spark, d), [1, 2], 10, 10))
+add("explore_from")(lambda spark, d: retrieval.explore_from(co_purchase(spark, d, 1), [1, 2], 10, 10))
 
 # knowledge
 

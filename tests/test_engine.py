@@ -325,3 +325,51 @@ def test_log_stream(spark, tmp_path):
 def test_predicates_reach_the_scan(spark):
     plan = sparql.run(registered.star_graph(spark, SF), 'SELECT ?c WHERE { ?c c_mktsegment "BUILDING" }')._jdf.queryExecution().executedPlan().toString()
     assert "c_mktsegment" in plan and "PushedFilters: [IsNotNull(c_mktsegment)" in plan and "c_acctbal" not in plan
+
+
+def test_graph_queries_take_every_co_purchase(spark, tmp_path):
+    from itertools import combinations
+    from math import log as ln
+
+    # most parts meet in one order only; 7 is bought alone
+    orders = [(1, 2, 3), (3, 4), (4, 5), (5, 6), (2, 4), (1, 2), (7,)]
+    spark.createDataFrame([(o, p) for o, parts in enumerate(orders) for p in parts], "l_orderkey bigint, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    weight = {}
+    for parts in orders:
+        for a, b in combinations(parts, 2):
+            weight[a, b] = weight.get((a, b), 0) + 1
+    near = {v: {b for e in weight for b in e if v in e and b != v} for v in range(1, 7)}
+
+    def paths(a, b):
+        """All shortest paths, by growing every simple path."""
+        now = [[a]]
+        while now and not (done := [p for p in now if p[-1] == b]):
+            now = [p + [x] for p in now for x in near[p[-1]] if x not in p]
+        return done
+
+    between = dict.fromkeys(near, 0.0)
+    for a, b in combinations(near, 2):
+        found = paths(a, b)
+        for p in found:
+            for v in p[1:-1]:
+                between[v] += 1 / len(found)
+    far = {(a, b): 0 if a == b else weight.get((min(a, b), max(a, b)), math.inf) for a in near for b in near}
+    for k in near:
+        far |= {(a, b): min(far[a, b], far[a, k] + far[k, b]) for a in near for b in near}
+    links = {(a, b): near[a] & near[b] for a, b in combinations(near, 2) if near[a] & near[b]}
+    run = lambda name: registered.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.id: pytest.approx(r.betweenness) for r in run("betweenness")} == between
+    assert {r.id: r.distance for r in run("sssp_cost_whole")} == {b: far[1, b] for b in near}
+    triples = [t for t in combinations(near, 3) if all(b in near[a] for a, b in combinations(t, 2))]
+    assert [r.triangles for r in run("triangle_count_whole")] == [len(triples)] and triples
+    joined = {v: sum(b in near[a] for a, b in combinations(near[v], 2)) for v in near}
+    assert {r.id: pytest.approx(r.lcc) for r in run("lcc_whole")} == {v: 2 * joined[v] / (len(near[v]) * (len(near[v]) - 1)) if len(near[v]) > 1 else 0 for v in near}
+    scores = {(r.a, r.b): r for r in run("link_scores_whole")}
+    assert scores.keys() == links.keys()
+    for (a, b), common in links.items():
+        r = scores[a, b]
+        assert r.common_neighbours == len(common) and r.preferential_attachment == len(near[a]) * len(near[b])
+        assert r.jaccard == pytest.approx(len(common) / len(near[a] | near[b]))
+        assert r.adamic_adar == pytest.approx(sum(1 / ln(len(near[m])) for m in common)) and r.resource_allocation == pytest.approx(sum(1 / len(near[m]) for m in common))
+    assert {r.id for r in run("louvain")} == {r.id for r in run("fastrp")} == set(near)
+    assert {r.id for r in run("explore_from")} == set(near) - {1, 2}
