@@ -46,6 +46,7 @@ add("triples_projection", """
     UNION ALL SELECT 'nation:' || n_nationkey, 'IN_REGION', 'region:' || n_regionkey, true FROM nation""")(
     lambda spark, d: star_graph(spark, d).triples().filter(F.col("s").startswith("nation:")).drop("n")
 )
+add("triples_projection_whole")(lambda spark, d: star_graph(spark, d).triples().drop("n"))
 
 # SPARQL
 
@@ -272,8 +273,16 @@ def _attention(spark, d):
 
 add("ecan_decay", "SELECT 'customer:' || c_custkey AS id, round(CASE WHEN c_custkey % 5 = 0 THEN greatest(100.0, least(1000.0, abs(c_acctbal)) * 0.85) ELSE least(1000.0, abs(c_acctbal)) * 0.85 END, 6) AS sti FROM customer")(
     lambda spark, d: knowledge.decay_attention(_attention(spark, d)).select("id", F.round("sti", 6).alias("sti")))
+
+
+def _spread(spark, d):
+    return knowledge.spread_attention(_attention(spark, d).unionByName(table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.lit(0.0).alias("sti"), F.lit(0.0).alias("lti"), F.lit(False).alias("vlti"))), star_graph(spark, d).edges("PLACED"))
+
+
 add("ecan_spread", "WITH e AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY 'order:' || o_orderkey) AS r FROM orders QUALIFY r <= 12), f AS (SELECT o_custkey, count(*) AS k FROM e GROUP BY 1), g AS (SELECT e.o_orderkey AS k, sum(least(1000.0, abs(c_acctbal)) * 0.65 * 0.4 / f.k) AS got FROM e JOIN f USING (o_custkey) JOIN customer ON c_custkey = e.o_custkey GROUP BY 1) SELECT 'order:' || o_orderkey AS id, round(least(1000.0, coalesce(got, 0)), 6)::DOUBLE AS sti FROM orders LEFT JOIN g ON k = o_orderkey")(
-    lambda spark, d: knowledge.spread_attention(_attention(spark, d).unionByName(table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.lit(0.0).alias("sti"), F.lit(0.0).alias("lti"), F.lit(False).alias("vlti"))), star_graph(spark, d).edges("PLACED")).filter("id like 'order:%'").select("id", F.round("sti", 6).alias("sti")))
+    lambda spark, d: _spread(spark, d).filter("id like 'order:%'").select("id", F.round("sti", 6).alias("sti")))
+_SPREAD = ORACLES["ecan_spread"]
+add("ecan_spread_whole", f"{_SPREAD} UNION ALL SELECT 'customer:' || c_custkey, round(least(1000.0, abs(c_acctbal)), 6)::DOUBLE FROM customer")(lambda spark, d: _spread(spark, d).select("id", F.round("sti", 6).alias("sti")))
 add("confidence_decay", "SELECT o_orderkey AS id, round(CASE WHEN o_orderkey % 40 > 14 THEN greatest(0.1, 0.9 * pow(0.85, o_orderkey % 40 - 14)) ELSE 0.9 END, 9)::DOUBLE AS confidence FROM orders")(
     lambda spark, d: knowledge.decay_confidence(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 40).alias("age"), F.lit(0.9).alias("confidence")), "age").select("id", F.round("confidence", 9).alias("confidence")))
 add("admit_claims", "SELECT l.doc_id, CASE WHEN n_chars % 10 < 2 THEN 'relevance' WHEN l.doc_id % 4 >= 2 AND toxic = 0 THEN 'hearsay' WHEN 0.15 * CASE WHEN quality = 0 THEN 0.5 ELSE 1 END < 0.1 THEN 'credibility' WHEN lang = 'fr' THEN 'privilege' ELSE 'admitted' END AS reason FROM labels l JOIN documents d ON l.doc_id = d.doc_id")(
@@ -301,8 +310,16 @@ def oplog(spark, d):
 
 add("oplog_fold", "WITH g AS (SELECT user_id, max(event_id) AS gone FROM events WHERE event_type = 'error' GROUP BY 1), l AS (SELECT user_id, event_type, max(event_id) AS m FROM events WHERE event_type <> 'error' GROUP BY 1, 2) SELECT l.user_id::VARCHAR AS id, event_type AS key, m::VARCHAR AS value FROM l LEFT JOIN g ON g.user_id = l.user_id WHERE gone IS NULL OR m > gone")(
     lambda spark, d: kernel.fold_log(oplog(spark, d)))
+
+
+def _incident(spark, d):
+    return kernel.incident_links(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.array(F.struct(F.lit("part").alias("role"), F.concat(F.lit("part:"), "l_partkey").alias("target")), F.struct(F.lit("supplier").alias("role"), F.concat(F.lit("supplier:"), "l_suppkey").alias("target"))).alias("members")))
+
+
 add("incident_links", "SELECT 'part:' || l_partkey AS member, count(*) AS links FROM lineitem GROUP BY 1")(
-    lambda spark, d: kernel.incident_links(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.array(F.struct(F.lit("part").alias("role"), F.concat(F.lit("part:"), "l_partkey").alias("target")), F.struct(F.lit("supplier").alias("role"), F.concat(F.lit("supplier:"), "l_suppkey").alias("target"))).alias("members"))).filter("role = 'part'").groupBy("member").agg(F.count("*").alias("links")))
+    lambda spark, d: _incident(spark, d).filter("role = 'part'").groupBy("member").agg(F.count("*").alias("links")))
+add("incident_links_whole", "SELECT 'part:' || l_partkey AS member, 'part' AS role, count(*) AS links FROM lineitem GROUP BY 1 UNION ALL SELECT 'supplier:' || l_suppkey, 'supplier', count(*) FROM lineitem GROUP BY 1")(
+    lambda spark, d: _incident(spark, d).groupBy("member", "role").agg(F.count("*").alias("links")))
 add("bounded_state_proof", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 < 1 THEN 'inconclusive' WHEN o_totalprice / 300000 > 1 OR (o_orderkey % 10) / 50.0 > 0.1 THEN 'violated' WHEN o_orderkey % 5 < 3 THEN 'inconclusive' ELSE 'proved' END AS verdict FROM orders")(
     lambda spark, d: kernel.check_bounded(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.col("o_totalprice") / 300000, F.lit(0.5)).alias("field"), (F.col("o_orderkey") % 5).alias("evidence"), (F.col("o_orderkey") % 10 / 50).alias("epsilon"))).select("id", "verdict"))
 add("glue_verdict", "WITH c AS (SELECT c_nationkey AS doc, c_mktsegment AS var, count(*) AS v FROM customer GROUP BY 1, 2), p AS (SELECT a.doc AS l, b.doc AS r, a.var, abs(a.v - b.v) <= 10 AS ok FROM c a JOIN c b ON a.var = b.var AND a.doc < b.doc) SELECT l AS \"left\", r AS \"right\", CASE WHEN bool_and(ok) THEN 'POS' ELSE 'NEG' END AS verdict, coalesce(min(var) FILTER (WHERE NOT ok), max(var)) AS witness FROM p GROUP BY 1, 2")(

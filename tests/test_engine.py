@@ -373,3 +373,26 @@ def test_graph_queries_take_every_co_purchase(spark, tmp_path):
         assert r.adamic_adar == pytest.approx(sum(1 / ln(len(near[m])) for m in common)) and r.resource_allocation == pytest.approx(sum(1 / len(near[m]) for m in common))
     assert {r.id for r in run("louvain")} == {r.id for r in run("fastrp")} == set(near)
     assert {r.id for r in run("explore_from")} == set(near) - {1, 2}
+
+
+def test_triples_of_every_table(spark, tmp_path):
+    tables = {
+        "region": ([(0, "ASIA")], "r_regionkey int, r_name string"),
+        "nation": ([(3, "INDIA", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(7, "ann", 3)], "c_custkey bigint, c_name string, c_nationkey int"),
+        "supplier": ([(4, "sam", 3)], "s_suppkey bigint, s_name string, s_nationkey int"),
+        "part": ([(9, "nut")], "p_partkey bigint, p_name string"),
+        "orders": ([(5, 7)], "o_orderkey bigint, o_custkey bigint"),
+        "lineitem": ([(5, 9, 2), (5, 9, 3)], "l_orderkey bigint, l_partkey bigint, l_quantity int"),
+    }
+    want = []
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+        if name != "lineitem":
+            prefix, key, label = {"orders": ("order", 0, "Order")}.get(name, (name, 0, name.title()))
+            for row in data:
+                want += [(f"{prefix}:{row[key]}", "rdf:type", label, False)]
+                want += [(f"{prefix}:{row[key]}", c.split()[0], str(x), False) for c, x in zip(schema.split(", "), row, strict=True)]
+    want += [("nation:3", "IN_REGION", "region:0", True), ("customer:7", "CUSTOMER_IN", "nation:3", True), ("supplier:4", "SUPPLIER_IN", "nation:3", True), ("customer:7", "PLACED", "order:5", True), ("order:5", "CONTAINS", "part:9", True)]
+    got = rows(registered.QUERIES["triples_projection_whole"](spark, str(tmp_path)).select("s", "p", "o", "is_iri"))
+    assert got == sorted(want, key=repr)
