@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -75,38 +75,41 @@ class Item:
     kind: np.ndarray
     size: int  # tokens of its windows
     valid: int  # windows with enough plain words
+    exact: int  # windows with fewer, found by their values only
 
 
 @dataclass
 class Benchmark:
     items: list[Item]
-    tables: dict[int, tuple[textvec.Table, np.ndarray, np.ndarray]]  # by window size: hashes, and each one's item and place
+    tables: dict[int, tuple[textvec.Table, np.ndarray, np.ndarray]]  # by window size: template hashes, and each one's item and place
+    exact: dict[int, tuple[textvec.Table, np.ndarray, np.ndarray]] = field(default_factory=dict)  # the same of value hashes
 
 
 def build(rows: list[tuple[object, str | None]], limit: int = PASS_WINDOWS) -> list[Benchmark]:
-    """Items in passes of bounded size.  An item of fewer tokens than a window is one window; of fewer than ``PLAIN`` plain words, none."""
-    out, items, got, total = [], [], defaultdict(list), 0
+    """Items in passes of bounded size.  An item of fewer tokens than a window is one window; only one without a token has none."""
+    out, items, total = [], [], 0
+    got: tuple[dict, dict] = defaultdict(list), defaultdict(list)  # template windows, exact windows
 
     def close() -> None:
         nonlocal items, got, total
-        tables = {n: (textvec.Table(np.array([h for h, _, _ in x], np.uint64)), np.array([i for _, i, _ in x]), np.array([p for *_, p in x])) for n, x in got.items()}
-        out.append(Benchmark(items, tables))
-        items, got, total = [], defaultdict(list), 0
+        tables = [{n: (textvec.Table(np.array([h for h, _, _ in x], np.uint64)), np.array([i for _, i, _ in x]), np.array([p for *_, p in x])) for n, x in g.items()} for g in got]
+        out.append(Benchmark(items, *tables))
+        items, got, total = [], (defaultdict(list), defaultdict(list)), 0
 
     for ident, text in rows:
         data = np.frombuffer((text or "").encode(), np.uint8)
         h, value, kind, _ = template(data, np.array([0, len(data)]))
         n = min(WINDOW, len(h))
-        if n < PLAIN:
+        if n == 0:
             continue
         plain = np.convolve(kind == WORD_, np.ones(n, int), "valid")
-        good = np.flatnonzero(plain >= PLAIN)
-        if len(good) == 0:
-            continue
-        w = windows(h, n)
-        got[n] += [(int(w[p]), len(items), int(p)) for p in good]
-        items.append(Item(ident, value, kind, n, len(good)))
-        total += len(good)
+        w, exact = windows(h, n), windows(value, n)
+        good, rest = np.flatnonzero(plain >= PLAIN), np.flatnonzero(plain < PLAIN)
+        for g, x, places in ((got[0], w, good), (got[1], exact, rest)):
+            if len(places):
+                g[n] += [(int(x[p]), len(items), int(p)) for p in places]
+        items.append(Item(ident, value, kind, n, len(good), len(rest)))
+        total += len(w)
         if total >= limit:
             close()
     if items:
@@ -132,22 +135,29 @@ def match(buf: np.ndarray, offsets: np.ndarray, bench: Benchmark, coverage: floa
     for a, b in textvec.chunks(offsets):
         h, value, kind, bounds = template(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         # equal hashes of several windows: the table holds each, so look up the distinct and expand
-        hits = defaultdict(list)
-        for n, (table, of, place) in bench.tables.items():
-            w = windows(h, n)
-            at, first = table.find(w)
-            for p, f in zip(at.tolist(), first.tolist(), strict=True):
-                row = int(np.searchsorted(bounds, p, side="right")) - 1
-                if p + n > bounds[row + 1]:
-                    continue
-                lo = int(np.searchsorted(table.keys, w[p]))
-                while lo < len(table.keys) and table.keys[lo] == w[p]:
-                    k = table.order[lo]
-                    hits[row, int(of[k])].append((p - int(place[k]), int(place[k])))
-                    lo += 1
-        for (row, i), got in hits.items():
-            item = bench.items[i]
-            if len({p for _, p in got}) < coverage * item.valid:
+        hits, same = defaultdict(list), defaultdict(set)
+        for tables, tokens, exact in ((bench.tables, h, False), (bench.exact, value, True)):
+            for n, (table, of, place) in tables.items():
+                w = windows(tokens, n)
+                at, _ = table.find(w)
+                for p in at.tolist():
+                    row = int(np.searchsorted(bounds, p, side="right")) - 1
+                    if p + n > bounds[row + 1]:
+                        continue
+                    if n < PLAIN and n != bounds[row + 1] - bounds[row]:  # a few tokens are a copy only as the whole text
+                        continue
+                    lo = int(np.searchsorted(table.keys, w[p]))
+                    while lo < len(table.keys) and table.keys[lo] == w[p]:
+                        k = table.order[lo]
+                        if exact:
+                            same[row, int(of[k])].add(int(place[k]))
+                        else:
+                            hits[row, int(of[k])].append((p - int(place[k]), int(place[k])))
+                        lo += 1
+        for row, i in hits.keys() | same.keys():
+            item, got, verbatim = bench.items[i], hits.get((row, i), []), len(same.get((row, i), ()))
+            n = len({p for _, p in got})
+            if (not item.valid or n < coverage * item.valid) and n + verbatim < coverage * (item.valid + item.exact):
                 continue
             by_shift = defaultdict(list)
             for shift, p in got:
@@ -161,8 +171,10 @@ def match(buf: np.ndarray, offsets: np.ndarray, bench: Benchmark, coverage: floa
                 if ok:
                     found.update(new)
                     changed += n
-            if len(found) >= coverage * item.valid:
+            if item.valid and len(found) >= coverage * item.valid:
                 out.append((a + row, i, len(found) / item.valid, changed))
+            elif len(found) + verbatim >= coverage * (item.valid + item.exact):
+                out.append((a + row, i, (len(found) + verbatim) / (item.valid + item.exact), changed))
     return sorted(out)
 
 
@@ -175,7 +187,9 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", id_col:
     """(doc_id, item_id, coverage, changed_slots): documents that hold a benchmark item, as it is or with other numbers, names or units.
 
     Windows of eight canonical tokens of at least four plain words are hash-joined; matches of an item are put in line
-    by their offset and dropped where a slot's value doesn't map one to one.  A leak has half of the item's windows.
+    by their offset and dropped where a slot's value doesn't map one to one.  Windows of fewer plain words are joined on
+    the values of all their tokens.  A leak has half of the item's template windows, or half of all; an item of fewer
+    than four tokens is found only as a whole text.
     Null and empty texts hold nothing; null items are skipped; an item that occurs twice in the benchmark is found as
     both.  Repeated rows and null ids give their own rows; other columns aren't read.  One pass over the documents,
     without a shuffle, for each two million windows of the benchmark.

@@ -679,3 +679,21 @@ def test_pages_awkward(spark):
     out = html.extract(df, model).collect()
     assert len(out) == len(rows) and next(r for r in out if r.page_id == 1).text is None and next(r for r in out if r.page_id == 2).text == ""
     assert html.extract(df.limit(0), html.fit(df.limit(0))).count() == 0
+
+
+# --- findings of the first review
+
+
+def found(spark, items, texts, **how):
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    leaks = {(r.doc_id, r.item_id): r.changed_slots for r in decontaminate.find_leaks(df, bench, **how).collect()}
+    kept = {r.doc_id for r in decontaminate.drop_leaks(df, bench, **how).collect()}
+    assert kept == {d for d, _ in texts} - {d for d, _ in leaks}
+    return leaks
+
+
+def test_copies_of_items_with_few_plain_words_are_found(spark):
+    items = [(1, "What is 12 times 7 plus 9"), (2, "Only Names Here And There Are Capital Letters In Titles"), (3, "Add 7")]
+    texts = [(1, f"so {items[0][1]}, they asked"), (2, f"a book called {items[1][1]} came"), (3, "What is 13 times 7 plus 9"), (4, "please Add 7 to it"), (5, "add 7"), (6, "Quite Other Names Stand There As Capital Letters Do Too"), (7, "")]
+    assert found(spark, items, texts) == {(1, 1): 0, (2, 2): 0, (5, 3): 0}
