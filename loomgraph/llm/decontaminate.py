@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -129,8 +129,27 @@ def _consistent(item: Item, value: np.ndarray, kind: np.ndarray, shift: int, pla
     return True, int((a != b).sum())
 
 
-def match(buf: np.ndarray, offsets: np.ndarray, bench: Benchmark, coverage: float = COVERAGE) -> list[tuple[int, int, float, int]]:
-    """(row, item, share of its windows, slots with another value) of the leaks in rows of text."""
+def _agreeing(item: Item, value: np.ndarray, shift: int, places: np.ndarray) -> tuple[list[int], int]:
+    """The windows whose slot values are the item's, or all follow the value that most of the slot's occurrences have; and how many of their slots have another value."""
+    own = np.unique(places[:, None] + np.arange(item.size))
+    own = own[item.kind[own] != WORD_]
+    a, b = item.value[own], value[own + shift]
+    votes: dict[int, Counter] = defaultdict(Counter)
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        votes[x][y] += 1
+    most = {x: max(v, key=lambda y: (v[y], y == x, y)) for x, v in votes.items()}
+    same = dict(zip(own.tolist(), (a == b).tolist(), strict=True))
+    fits = dict(zip(own.tolist(), (most[x] == y for x, y in zip(a.tolist(), b.tolist(), strict=True)), strict=True))
+    kept = [p for p in places.tolist() if all(same.get(k, True) for k in range(p, p + item.size)) or all(fits.get(k, True) for k in range(p, p + item.size))]
+    used = {k for p in kept for k in range(p, p + item.size)}
+    return kept, sum(not x for k, x in same.items() if k in used)
+
+
+def match(buf: np.ndarray, offsets: np.ndarray, bench: Benchmark, coverage: float = COVERAGE, strict: bool = True) -> list[tuple[int, int, float, int]]:
+    """(row, item, share of its windows, slots with another value) of the leaks in rows of text.
+
+    ``strict`` drops an alignment whole if slots don't map one to one; else only its windows that disagree with most.
+    """
     out = []
     for a, b in textvec.chunks(offsets):
         h, value, kind, bounds = template(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -167,10 +186,13 @@ def match(buf: np.ndarray, offsets: np.ndarray, bench: Benchmark, coverage: floa
                 new = sorted(set(places) - found)
                 if not new:
                     continue
-                ok, n = _consistent(item, value, kind, shift, np.array(new))
-                if ok:
-                    found.update(new)
-                    changed += n
+                if strict:
+                    ok, n = _consistent(item, value, kind, shift, np.array(new))
+                    new = new if ok else []
+                else:
+                    new, n = _agreeing(item, value, shift, np.array(new))
+                found.update(new)
+                changed += n
             if item.valid and len(found) >= coverage * item.valid:
                 out.append((a + row, i, len(found) / item.valid, changed))
             elif len(found) + verbatim >= coverage * (item.valid + item.exact):
@@ -183,11 +205,12 @@ def _items(benchmark: DataFrame, id_col: str, text: str) -> list[Benchmark]:
     return build([(r[0], r[1]) for r in benchmark.select(id_col, F.col(text).cast("string")).toLocalIterator()])
 
 
-def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
+def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id", coverage: float = COVERAGE, strict: bool = True) -> DataFrame:
     """(doc_id, item_id, coverage, changed_slots): documents that hold a benchmark item, as it is or with other numbers, names or units.
 
     Windows of eight canonical tokens of at least four plain words are hash-joined; matches of an item are put in line
-    by their offset and dropped where a slot's value doesn't map one to one.  Windows of fewer plain words are joined on
+    by their offset and dropped where a slot's value doesn't map one to one, all of them or, if not ``strict``, those that disagree with
+    most, and values may become equal.  Windows of fewer plain words are joined on
     the values of all their tokens.  A leak has half of the item's template windows, or half of all; an item of fewer
     than four tokens is found only as a whole text.
     Null and empty texts hold nothing; null items are skipped; an item that occurs twice in the benchmark is found as
@@ -206,7 +229,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", id_col:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             b = shared.value
             for batch in batches:
-                got = match(*textvec.column(batch.column(1)), b, coverage)
+                got = match(*textvec.column(batch.column(1)), b, coverage, strict)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in got], pa.int64())), pa.array([b.items[x[1]].ident for x in got], arrow), pa.array([x[2] for x in got], pa.float64()), pa.array([x[3] for x in got], pa.int64())], names=[id_col, item_col, "coverage", "changed_slots"])
 
         part = docs.mapInArrow(run, f"`{id_col}` {kind}, `{item_col}` {'string' if arrow == pa.string() else item_kind.simpleString()}, coverage double, changed_slots bigint")
@@ -214,7 +237,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", id_col:
     return out
 
 
-def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
+def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", coverage: float = COVERAGE, strict: bool = True) -> DataFrame:
     """The rows of the input, with all their columns, that hold no benchmark item; null texts stay."""
     common.prepare(df.sparkSession)
     place = df.columns.index(text)
@@ -224,7 +247,7 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_col
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[x[0] for x in match(*textvec.column(batch.column(place)), shared.value, coverage)]] = False
+                keep[[x[0] for x in match(*textvec.column(batch.column(place)), shared.value, coverage, strict)]] = False
                 yield batch.filter(pa.array(keep))
 
         df = df.mapInArrow(run, df.schema)

@@ -697,3 +697,28 @@ def test_copies_of_items_with_few_plain_words_are_found(spark):
     items = [(1, "What is 12 times 7 plus 9"), (2, "Only Names Here And There Are Capital Letters In Titles"), (3, "Add 7")]
     texts = [(1, f"so {items[0][1]}, they asked"), (2, f"a book called {items[1][1]} came"), (3, "What is 13 times 7 plus 9"), (4, "please Add 7 to it"), (5, "add 7"), (6, "Quite Other Names Stand There As Capital Letters Do Too"), (7, "")]
     assert found(spark, items, texts) == {(1, 1): 0, (2, 2): 0, (5, 3): 0}
+
+
+def test_one_edited_slot_does_not_hide_a_leak(spark):
+    question = "Tom has 3 red apples and 4 green apples so how many apples does he have in the basket at home today"
+    items = [(1, ITEM), (2, question)]
+    texts = [
+        (1, "x " + ITEM.replace("Alice has", "Carol has")),  # one of two
+        (2, "x " + ITEM.replace("before Alice", "before Carol").replace("12", "13")),
+        (3, question.replace("3", "5").replace("4", "5")),  # two numbers become equal
+        (4, question),
+        (5, "Tom has 3 red apples and a bicycle"),
+    ]
+    assert found(spark, items, texts, strict=False) == {(1, 1): 0, (2, 1): 1, (3, 2): 2, (4, 2): 0}
+    assert found(spark, items, texts).keys() == {(4, 2)}
+
+
+def test_registered_decontamination_keeps_the_windows_that_agree(spark, tmp_path):
+    import corpus_pipeline
+
+    text = ITEM.replace("Alice has", "Carol has")
+    spark.createDataFrame([(1, ITEM)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, text, "en", "s", 0), (2, "nothing of it", "en", "s", 0)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.doc_id for r in queries.op2_decontaminate(spark, str(tmp_path)).collect()] == [1]
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.doc_id for r in corpus_pipeline.remove_leaks(spark, df, str(tmp_path)).collect()] == [2]
