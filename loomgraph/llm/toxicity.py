@@ -135,15 +135,15 @@ def score_rows(buf: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[list
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Token counts of a bounded sample of labelled documents, and of the candidates' background in all documents.
 
-    A token's toxic occurrences count once for each different word before them, so that copies of a document or passage
-    don't make its words toxic.
+    Each text of a label counts once, and a token's toxic occurrences once for each different word before them, so that
+    copies of a document or passage neither make its words toxic nor hide those that it shares with others.
     """
     spark = df.sparkSession
     common.prepare(spark)
     chosen = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("d")).agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64(F.col("d"), F.lit(7)), "d").limit(sample_rows)
     docs = df.select(F.col(id_col).alias("d"), F.col(text).cast("string").alias("t"))
-    sample = docs.join(F.broadcast(chosen), "d").select("y", "t")
+    sample = docs.join(F.broadcast(chosen), "d").select("y", "t").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,9 +198,10 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc
                 h, _, _, bounds = tokens(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 before = np.append(np.uint64(0), h[:-1, 0])[: len(h)]
                 before[bounds[:-1][bounds[:-1] < len(h)]] = 0
+                row = np.repeat(np.arange(b - a), np.diff(bounds))
                 found = [table.find(h[:, i]) for i in range(h.shape[1])]
-                pair = np.stack([np.concatenate([w for _, w in found]), np.concatenate([before[at] for at, _ in found]).view(np.int64)], axis=1)
-                pair, n = np.unique(pair, axis=0, return_counts=True)
+                pair = np.stack([np.concatenate([w for _, w in found]), np.concatenate([before[at] for at, _ in found]).view(np.int64), np.concatenate([row[at] for at, _ in found])], axis=1)
+                pair, n = np.unique(np.unique(pair, axis=0)[:, :2], axis=0, return_counts=True)  # a text counts once
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(n)], names=["i", "before", "n"])
 
     near = sample.filter("y = 1").select("t").mapInArrow(contexts, "i bigint, before bigint, n bigint").groupBy("i", "before").agg(F.sum("n").alias("n")).groupBy("i").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.sum("n").alias("n")).toPandas()

@@ -722,3 +722,23 @@ def test_registered_decontamination_keeps_the_windows_that_agree(spark, tmp_path
     assert [r.doc_id for r in queries.op2_decontaminate(spark, str(tmp_path)).collect()] == [1]
     df = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert [r.doc_id for r in corpus_pipeline.remove_leaks(spark, df, str(tmp_path)).collect()] == [2]
+
+
+def test_copies_of_a_toxic_text_do_not_hide_its_words(spark):
+    rng = random.Random(3)
+    filler = [f"plain{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    bad = ["blorgish", "snarfed", "grickle", "wumpous"]
+
+    def text(toxic):
+        words = rng.choices(filler, k=60)
+        for w in bad * (2 * toxic):
+            words.insert(rng.randrange(1, len(words)), w)
+        return " ".join(words)
+
+    copied = " ".join(w for b in bad for w in (filler[0], b)) + " " + " ".join(rng.choices(filler, k=40))
+    texts = [text(True) for _ in range(30)] + [copied] * 400 + [text(False) for _ in range(300)]
+    fresh = [text(True) for _ in range(10)] + [text(False) for _ in range(10)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + fresh)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 430)) for i in range(len(texts))], "doc_id bigint, toxic int")
+    found = {r.doc_id: r.toxic for r in toxicity.find_toxic(df, labels).collect()}
+    assert [found[len(texts) + i] for i in range(20)] == [True] * 10 + [False] * 10
