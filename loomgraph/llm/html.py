@@ -94,8 +94,9 @@ def parse(page: str) -> Tree:
             names = tuple(x for a in _ATTRIBUTE.findall(m[3]) for x in _PART.findall("".join(a).lower()))
         node = len(t.tag)
         t.tag.append(_TAG_ID.get(tag, OTHER)), t.name.append(tag), t.parent.append(stack[-1] if stack else -1), t.depth.append(len(stack)), t.end.append(node + 1), t.names.append(names)
-        if tag in _RAW:
-            e = _RAW[tag].search(page, at)
+        empty = tag == "svg" and m[0].endswith("/>")
+        e = _RAW[tag].search(page, at) if tag in _RAW and not empty else None
+        if tag in _RAW and not empty and (e or tag != "svg"):
             at = e.end() if e else n
         elif tag not in _VOID and not m[0].endswith("/>"):
             stack.append(node)

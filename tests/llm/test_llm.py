@@ -742,3 +742,12 @@ def test_copies_of_a_toxic_text_do_not_hide_its_words(spark):
     labels = spark.createDataFrame([(i, int(i < 430)) for i in range(len(texts))], "doc_id bigint, toxic int")
     found = {r.doc_id: r.toxic for r in toxicity.find_toxic(df, labels).collect()}
     assert [found[len(texts) + i] for i in range(20)] == [True] * 10 + [False] * 10
+
+
+def test_svg_does_not_swallow_the_page():
+    def texts(page):
+        return "".join(x for _, x in html.parse(page).pieces)
+
+    assert texts("<p>one</p><svg width='1'/><p>two</p>") == "onetwo"
+    assert texts("<svg/><p>two</p><svg><path d='M0'/><text>drawn</text></svg><p>three</p>") == "twothree"
+    assert texts("<p>one</p><svg viewBox='0'><p>two</p>") == "onetwo"
