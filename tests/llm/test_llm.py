@@ -469,15 +469,27 @@ def test_simhash_matches_plain_python():
     texts = ["a b c a", "only", "", LONG, "größe Größe GRÖSSE x y z"]
     fp, n = near_dedup.fingerprints(pa.array(texts))
     for i, t in enumerate(texts):
-        words = sorted(brute_simhash(t))
-        rows = np.array(words, np.uint64)
-        one, m = near_dedup.simhash(rows, np.array([0, len(rows)]))
+        words = np.array(sorted(brute_simhash(t)), np.uint64)
         assert n[i] == len(words)
-        low = max(1, (1).bit_length())
-        f = (rows >> np.uint64(low)) << np.uint64(low)
-        bits = np.concatenate([np.unpackbits(textvec.mix(f + s).view(np.uint8).reshape(-1, 8), axis=1) for s in near_dedup._SEEDS], axis=1) if len(rows) else np.zeros((0, 256), int)
-        want = np.packbits(2 * bits.sum(axis=0, dtype=int) > len(rows)).view(np.uint64)
-        assert one[0].tolist() == want.tolist()
+        bits = np.concatenate([np.unpackbits(textvec.mix(words + s).view(np.uint8).reshape(-1, 8), axis=1) for s in near_dedup._SEEDS], axis=1) if len(words) else np.zeros((0, 256), int)
+        want = np.packbits(2 * bits.sum(axis=0, dtype=int) > len(words)).view(np.uint64)
+        assert fp[i].tolist() == want.tolist()
+
+
+def test_fingerprints_do_not_depend_on_other_rows():
+    texts = [*oracle("select text from documents order by doc_id").text.tolist(), "", LONG, "one two three"]
+    whole, n = near_dedup.fingerprints(pa.array(texts))
+    for parts in (2, 7, len(texts)):
+        cuts = np.linspace(0, len(texts), parts + 1).astype(int)
+        got = [near_dedup.fingerprints(pa.array(texts[a:b])) for a, b in itertools.pairwise(cuts)]
+        assert (np.concatenate([f for f, _ in got]) == whole).all() and (np.concatenate([m for _, m in got]) == n).all()
+
+
+def test_words_that_differ_in_their_lowest_bits_are_two():
+    h = np.array([5 << 40, (5 << 40) + 1, 5 << 40, 9], np.uint64)
+    fp, n = near_dedup.simhash(h, np.array([0, 3, 4, 4]))
+    assert n.tolist() == [2, 1, 0]
+    assert near_dedup.simhash(h[:2], np.array([0, 2]))[0][0].tolist() == fp[0].tolist()
 
 
 def brute_groups(fp, n, distance=near_dedup.DISTANCE):
@@ -493,24 +505,84 @@ def brute_groups(fp, n, distance=near_dedup.DISTANCE):
     return label, pairs
 
 
-def test_block_join_recall_against_brute_force():
-    texts = oracle("select text from documents").text.tolist()
-    fp, n = near_dedup.fingerprints(pa.array(texts))
-    _, pairs = brute_groups(fp, n)
-    keys, rows = [], []
-    for b in range(near_dedup.BLOCKS):
-        keys.append((b << near_dedup.BLOCK_BITS) + near_dedup.block(fp, b).astype(np.int64))
-        rows.append(np.arange(len(fp)))
-    key, row = np.concatenate(keys), np.concatenate(rows)
+def block_edges(fp, blocks):
+    """The edges of the join of all blocks, without Spark."""
+    key = np.concatenate([(np.int64(b) << 32) + blocks.value(fp, b).astype(np.int64) for b in range(blocks.n)])
+    row = np.tile(np.arange(len(fp)), blocks.n)
     order = np.argsort(key, kind="stable")
-    a, b = near_dedup.near_edges(key[order], fp[row[order]], row[order], near_dedup.DISTANCE, small=10**6)
-    got = [(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-    assert len(got) == len(set(got)) and set(got) <= pairs
-    assert len(got) >= 0.9 * len(pairs) > 0
-    sure = {p for p in pairs if np.bitwise_count(fp[p[0]] ^ fp[p[1]]).sum() <= near_dedup.BLOCKS - near_dedup.SHARED}
-    assert sure <= set(got)
-    few = near_dedup.near_edges(key[order], fp[row[order]], row[order], near_dedup.DISTANCE, small=2)
-    assert [x.tolist() for x in components.join_sets(*few)] == [x.tolist() for x in components.join_sets(a, b)]
+    return near_dedup.near_edges(key[order], fp[row[order]], row[order], blocks)
+
+
+def at_distance(rng, fp, d):
+    out = fp.copy()
+    for p in rng.permutation(near_dedup.BITS)[:d].tolist():
+        out[p // 64] ^= np.uint64(1) << np.uint64(p % 64)
+    return out
+
+
+@pytest.mark.parametrize("distance", [0, 3, 18, 42, 60])
+def test_blocks_find_every_pair_within_the_distance(distance):
+    rng = np.random.default_rng(distance)
+    blocks = near_dedup.Blocks(distance)
+    assert blocks.n > distance and sum(blocks.width) == near_dedup.BITS and blocks.start[-1] + blocks.width[-1] == near_dedup.BITS
+    fp = rng.integers(0, 2**64 - 1, (400, near_dedup.WORDS), dtype=np.uint64)
+    near = np.array([at_distance(rng, f, distance) for f in fp[:200]])
+    spread = fp[200].copy()  # an error in as many blocks as there may be
+    for b in range(distance):
+        spread[blocks.start[b] // 64] ^= np.uint64(1) << np.uint64(blocks.start[b] % 64)
+    far = np.array([at_distance(rng, f, distance + 1) for f in fp[201:300]])
+    every = np.concatenate([fp, near, [spread], far])
+    a, b = block_edges(every, blocks)
+    label, pairs = brute_groups(every, np.ones(len(every)), distance)
+    assert len(pairs) == 201
+    nodes, least = components.join_sets(a, b)
+    n = np.bincount(label)
+    assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == {i: x for i, x in enumerate(label) if n[x] > 1}
+
+
+def test_buckets_and_direct_comparison_find_the_same_pairs():
+    rng = np.random.default_rng(5)
+    blocks = near_dedup.Blocks(42)
+    centre = rng.integers(0, 2**64 - 1, (40, near_dedup.WORDS), dtype=np.uint64)
+    fp = np.array([at_distance(rng, c, int(rng.integers(0, 45))) for c in centre for _ in range(20)])
+    for b in (0, 20, 42):
+        for v in np.unique(blocks.value(fp, b))[:4]:
+            rows = fp[blocks.value(fp, b) == v]
+            found = [near_dedup.near_in_block(rows, b, blocks, **how) for how in ({"few": 10**6}, {"few": 1}, {"few": 1, "many": 1})]
+            sets = [set(map(tuple, np.sort(np.stack(x, axis=1), axis=1).tolist())) for x in found]
+            ring = set()
+            for x, y in itertools.combinations(range(len(rows)), 2):
+                apart = [int(np.bitwise_count(blocks.value(rows[[x]], (b + k) % blocks.n) ^ blocks.value(rows[[y]], (b + k) % blocks.n))[0]) for k in range(blocks.n)]
+                if all(t <= blocks.allowed(k + 1) for k, t in enumerate(itertools.accumulate(apart))):
+                    ring.add((x, y))
+            assert ring <= sets[2] <= sets[1] <= sets[0]  # three blocks sort out more than two
+            n = [len(x[0]) for x in found]
+            assert n == [len(x) for x in sets]
+
+
+def test_a_dense_cluster_is_joined_without_its_pairs():
+    rng = np.random.default_rng(6)
+    blocks = near_dedup.Blocks(42)
+    centre = rng.integers(0, 2**64 - 1, (2, near_dedup.WORDS), dtype=np.uint64)
+    other = at_distance(rng, centre[0], 70)
+    fp = np.array([at_distance(rng, centre[0], int(rng.integers(0, 24))) for _ in range(1500)] + [at_distance(rng, other, int(rng.integers(0, 24))) for _ in range(700)] + [at_distance(rng, centre[1], 60) for _ in range(50)])
+    rows = fp[blocks.value(fp, 3) == blocks.value(centre, 3)[0]]
+    x, y = near_dedup.near_in_block(rows, 3, blocks)
+    assert len(rows) > 512 and len(x) < len(rows) ** 2 / 8
+    close = np.zeros((len(fp), len(fp)), np.int64)
+    for w in range(near_dedup.WORDS):
+        close += np.bitwise_count(fp[:, w, None] ^ fp[None, :, w])
+    want = components.join_sets(*np.nonzero(np.triu(close <= blocks.distance, 1)))
+    assert [x.tolist() for x in components.join_sets(*block_edges(fp, blocks))] == [x.tolist() for x in want]
+
+
+def test_near_duplicates_do_not_depend_on_partitions_or_parts(spark):
+    rows = [tuple(r) for r in oracle("select doc_id, text, lang, source, n_chars from documents").itertuples(index=False)]
+    df = spark.createDataFrame([(int(r[0]), *r[1:4], 1) for r in rows] + AWKWARD, SCHEMA)
+    want = sorted(map(repr, near_dedup.find_near_duplicates(df.repartition(1)).select("doc_id", "group_id", "group_size").collect()))
+    assert sorted(map(repr, near_dedup.find_near_duplicates(df.repartition(7)).select("doc_id", "group_id", "group_size").collect())) == want
+    split = near_dedup.find_near_duplicates(df.repartition(7), part_rows=5)
+    assert sorted(map(repr, split.select("doc_id", "group_id", "group_size").collect())) == want
 
 
 def test_near_duplicates_match_brute_force(spark, monkeypatch):
