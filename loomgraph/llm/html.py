@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -33,6 +34,7 @@ _GOOD, _BAD = frozenset({"article", "main"}), frozenset({"nav", "footer", "heade
 _BAD_NAMES = frozenset("ad ads advert banner sidebar menu nav navigation footer header cookie breadcrumb share social related promo comments popup".split())
 _GOOD_NAMES = frozenset("article content main post entry story".split())
 _HASHED = 16
+_DIGITS = b"0123456789"
 
 
 @dataclass
@@ -52,10 +54,13 @@ def parse(page: str) -> Tree:
     """A forgiving reading: unclosed elements end with their parent, stray end tags are ignored, the text of scripts and styles is dropped."""
     t = Tree()
     stack: list[int] = []
+    is_open: Counter[str] = Counter()
 
     def close(to: int) -> None:
         while len(stack) > to:
-            t.end[stack.pop()] = len(t.tag)
+            node = stack.pop()
+            is_open[t.name[node]] -= 1
+            t.end[node] = len(t.tag)
 
     at, n = 0, len(page)
     while at < n:
@@ -73,7 +78,7 @@ def parse(page: str) -> Tree:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if is_open[tag] > 0 else ():
                 if t.name[stack[i]] == tag:
                     close(i)
                     break
@@ -81,7 +86,7 @@ def parse(page: str) -> Tree:
         shut = _CLOSES.get(tag, ())
         if tag in _ENDS_P:
             shut = {"p"}
-        if shut:
+        if any(is_open[x] > 0 for x in shut):
             for i in range(len(stack) - 1, -1, -1):
                 name = t.name[stack[i]]
                 if name in shut:
@@ -100,6 +105,7 @@ def parse(page: str) -> Tree:
             at = e.end() if e else n
         elif tag not in _VOID and not m[0].endswith("/>"):
             stack.append(node)
+            is_open[tag] += 1
     close(0)
     return t
 
@@ -127,11 +133,10 @@ def node_features(t: Tree, hide: bool = False) -> np.ndarray:
         dots[i] += x.count(".") + x.count(",")
         words[i] += x.count(" ") + 1
         caps[i] += x.count("|") + x.count("©") + x.count("&")
-        digits[i] += sum(map(x.count, "0123456789")) if len(x) < 200 else 0
+        raw = x.encode("utf-8", "replace")
+        digits[i] += len(raw) - len(raw.translate(None, _DIGITS))
     link = np.where(tag == _TAG_ID["a"], 1, 0)
-    inside = np.zeros(n, bool)
-    for i in np.flatnonzero(link):
-        inside[i : end[i]] = True
+    inside = _covered(np.flatnonzero(link), end, n)
 
     def subtree(v: np.ndarray) -> np.ndarray:
         c = np.concatenate([[0], np.cumsum(v)])
@@ -156,24 +161,31 @@ def node_features(t: Tree, hide: bool = False) -> np.ndarray:
     out[np.arange(n), len(cols) + tag] = 1
     if not hide:
         base = len(cols) + OTHER + 1
-        for i, names in enumerate(t.names):
-            for x in names:
-                k = crc32(x.encode()) % _HASHED
-                out[i, base + k] = 1
-                out[i : end[i], base + _HASHED + k] = 1
+        named = [(i, crc32(x.encode()) % _HASHED) for i, names in enumerate(t.names) for x in names]
+        node, k = np.array(named, np.int64).reshape(-1, 2).T
+        out[node, base + k] = 1
+        for j in np.unique(k):
+            out[:, base + _HASHED + j] = _covered(node[k == j], end, n)
     return out
 
 
+def _covered(nodes: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of n nodes are in the subtree of any of the given ones."""
+    return np.cumsum(np.bincount(nodes, minlength=n + 1) - np.bincount(end[nodes], minlength=n + 1))[:n] > 0
+
+
 def teacher(t: Tree) -> np.ndarray:
     """1 for nodes within the page's article or main element, 0 within navigation, footers, advertisements and the like, else -1."""
-    y = np.full(len(t.tag), -1)
-    for i in range(len(y)):
+    y: list[int] = []
+    for i, up in enumerate(t.parent):
         names = set(t.names[i])
+        above = y[up] if up >= 0 else -1
         if t.name[i] in _BAD or names & _BAD_NAMES:
-            y[i : t.end[i]] = 0
-        elif (t.name[i] in _GOOD or names & _GOOD_NAMES) and y[i] != 0:
-            y[i : t.end[i]] = 1
-    return y
+            above = 0
+        elif (t.name[i] in _GOOD or names & _GOOD_NAMES) and above != 0:
+            above = 1
+        y.append(above)
+    return np.array(y, np.int64)
 
 
 @dataclass
@@ -201,12 +213,12 @@ class Forest:
         return 1 / (1 + np.exp(-z))
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Forest:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, base: float | None = None) -> Forest:
     """Second-order boosting of the logistic loss; the best of all bins of all features at each node, ties to the first."""
     edges = np.stack([np.quantile(x[:, i], np.arange(1, BINS) / BINS) if len(x) else np.zeros(BINS - 1) for i in range(x.shape[1])]).astype(np.float32)
     mean = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
     inner = 2**DEPTH - 1
-    forest = Forest(edges, float(np.log(mean / (1 - mean))), np.zeros((trees, inner), np.int64), np.full((trees, inner), 255, np.int64), np.zeros((trees, inner + 1)))
+    forest = Forest(edges, float(np.log(mean / (1 - mean))) if base is None else base, np.zeros((trees, inner), np.int64), np.full((trees, inner), 255, np.int64), np.zeros((trees, inner + 1)))
     b = forest.binned(x).astype(np.int64)
     z, rows, k = np.full(len(x), forest.base), np.arange(len(x)), x.shape[1]
     for t in range(trees if len(x) else 0):
@@ -290,7 +302,11 @@ def text_of(t: Tree, kept: np.ndarray) -> str:
 
 
 def fit(df: DataFrame, column: str = "html", sample_pages: int = SAMPLE_PAGES) -> Forest:
-    """Trees fitted on the driver to a bounded sample of pages, each taken twice: as it is and with its semantic tags and attributes hidden."""
+    """Trees fitted on the driver to a bounded sample of pages, each taken twice: as it is and with its semantic tags and attributes hidden.
+
+    Labels come from semantic tags and attribute names.  Where the sample has none that says which text is the main one, as
+    in an empty table, there is nothing to tell apart and :func:`extract` keeps all text.
+    """
     common.prepare(df.sparkSession)
     body = F.col(f"`{column}`").cast("string")
     sample = df.select(body.alias("t")).filter("t is not null").select("t", F.xxhash64("t").alias("h")).orderBy("h").limit(sample_pages)
@@ -309,7 +325,10 @@ def fit(df: DataFrame, column: str = "html", sample_pages: int = SAMPLE_PAGES) -
     got = sample.select("t").mapInArrow(run, "x binary, y binary").toArrow()
     x = [np.frombuffer(v, np.float32).reshape(-1, FEATURES) for v in got["x"].to_pylist()]
     y = [np.frombuffer(v, np.int8) for v in got["y"].to_pylist()]
-    return boost(np.concatenate(x) if x else np.zeros((0, FEATURES), np.float32), np.concatenate(y).astype(np.float64) if y else np.zeros(0))
+    label = np.concatenate(y).astype(np.float64) if y else np.zeros(0)
+    if not label.any():
+        return boost(np.zeros((0, FEATURES), np.float32), np.zeros(0), trees=0, base=8.0)
+    return boost(np.concatenate(x), label)
 
 
 def extract(df: DataFrame, forest: Forest, column: str = "html", id_col: str = "page_id") -> DataFrame:
@@ -341,4 +360,4 @@ def extract(df: DataFrame, forest: Forest, column: str = "html", id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(nodes), pa.array(kept)], names=[id_col, "text", "n_nodes", "n_kept"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{column}`").cast("string")).mapInArrow(run, f"`{id_col}` {kind}, text string, n_nodes bigint, n_kept bigint")
+    return df.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{column}`").cast("string").alias("t")).mapInArrow(run, f"`{id_col}` {kind}, text string, n_nodes bigint, n_kept bigint")
