@@ -7,13 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm import common
 
-#: Rows of keys up to which a join broadcasts them; beyond, both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Bytes of keys, as rows in memory, up to which a join broadcasts them; beyond, both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Repeated rows that one task writes at most.
+REPEATS = 100_000
 _HEAD = 4
 
 
@@ -153,8 +156,13 @@ def repeated_fingerprints(fps: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame) -> bool:
-    """Whether a materialised table has few enough rows to broadcast."""
-    return df.count() <= BROADCAST_ROWS
+    """Whether a materialised table's rows take few enough bytes to broadcast: 16 and 8 for each field, and what lies in strings and the like."""
+    plain = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+    other = [F.col(f"`{f.name}`").cast("string") for f in df.schema if not isinstance(f.dataType, plain)]
+    size = F.count("*") * (16 + 8 * len(df.columns))
+    for c in other:
+        size = size + F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+    return df.agg(size).first()[0] <= BROADCAST_BYTES
 
 
 def maybe_broadcast(df: DataFrame) -> DataFrame:
@@ -170,7 +178,7 @@ def find_exact_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_
     empty texts are equal; null ids come last.  Other columns aren't read, so their names can't clash.
     """
     common.prepare(df.sparkSession)
-    docs = df.select(F.col(id_col).alias("d"), F.col(text).cast("string").alias("t")).withColumn("fp", F.when(F.col("t").isNotNull(), F.xxhash64("t")))
+    docs = df.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text}`").cast("string").alias("t")).withColumn("fp", F.when(F.col("t").isNotNull(), F.xxhash64("t")))
     dup = common.materialise(repeated_fingerprints(docs.select("fp")))
     cand = docs.filter("fp is not null").join(maybe_broadcast(dup.select("fp")), "fp", "left_semi")
     marks = F.hash("t").alias("v"), F.xxhash64(F.lit("b"), "t").alias("w")
@@ -186,11 +194,21 @@ def find_exact_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_
     else:
         one, groups = groups, groups.limit(0)
     groups = one.withColumns({"v": F.lit(0), "w": F.lit(0).cast("bigint")}).unionByName(groups)
-    rows = light.join(groups, ["fp", "v", "w"], "left")
-    first = F.row_number().over(Window.partitionBy("fp", "v", "w").orderBy(F.col("d").asc_nulls_last()))
-    many = rows.filter("n is not null").withColumn("keep", first == 1)
-    alone = rows.filter("n is null").select("d", F.col("d").alias("keep_id"), F.lit(1).cast("bigint").alias("copies"), F.lit(True).alias("keep"))
-    return many.select("d", F.col("m").alias("keep_id"), F.col("n").alias("copies"), "keep").unionByName(alone).withColumnsRenamed({"d": id_col})
+    key = ["fp", "v", "w"]
+    groups = maybe_broadcast(common.materialise(groups))
+    rows = light.join(groups, key, "left")
+    least = F.col("d").eqNullSafe(F.col("m"))
+    out = rows.select("d", F.when(F.col("n").isNull(), F.col("d")).otherwise(F.col("m")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("copies"), (F.col("n").isNull() | least).alias("keep"), *key)
+    # the least id of a text may itself be repeated: such rows are counted, and written as one that stays and the others
+    repeated = common.materialise(rows.filter(F.col("n").isNotNull() & least).groupBy(*key).agg(F.first("m").alias("m"), F.first("n").alias("n"), F.count("*").alias("c")).filter("c > 1"))
+    shown = ["d", "keep_id", "copies", "keep"]
+    if repeated.limit(1).count():
+        some = maybe_broadcast(repeated.select(*key, F.lit(True).alias("again")))
+        out = out.join(some, key, "left").filter("not (keep and coalesce(again, false))")
+        runs = repeated.select("m", "n", "c", F.explode(F.sequence(F.lit(0), F.col("c") - 1, F.lit(REPEATS).cast("bigint"))).alias("from")).repartition("from", "m")
+        each = runs.select("m", "n", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + REPEATS, F.col("c")) - 1)).alias("i"))
+        out = out.select(*shown).unionByName(each.select(F.col("m").alias("d"), F.col("m").alias("keep_id"), F.col("n").alias("copies"), (F.col("i") == 0).alias("keep")))
+    return out.select(*shown).withColumnsRenamed({"d": id_col})
 
 
 def drop_exact_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -200,7 +218,7 @@ def drop_exact_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_
     """
     common.prepare(df.sparkSession)
     columns = df.columns
-    fp, rid, own = "loomgraph_fp", "loomgraph_id", "loomgraph_copy"
+    fp, rid, whole = "loomgraph_fp", "loomgraph_id", "loomgraph_whole"
     docs = df.withColumns({fp: F.when(F.col(f"`{text}`").isNotNull(), F.xxhash64(F.col(f"`{text}`").cast("string"))), rid: F.col(f"`{id_col}`")})
     dup = common.materialise(repeated_fingerprints(docs.select(F.col(fp).alias("fp"))).select(F.col("fp").alias(fp)))
     keys = maybe_broadcast(dup)
@@ -211,5 +229,5 @@ def drop_exact_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_
     least = common.materialise(least.select(fp, F.hash("loomgraph_t").alias("loomgraph_h"), F.length("loomgraph_t").alias("loomgraph_n"), "loomgraph_least").distinct())
     h = F.hash(F.col(f"`{text}`").cast("string"))
     kept = cand.withColumns({"loomgraph_h": h, "loomgraph_n": F.length(F.col(f"`{text}`").cast("string"))}).join(maybe_broadcast(least), [fp, "loomgraph_h", "loomgraph_n"]).filter(F.col(rid).eqNullSafe(F.col("loomgraph_least")))
-    kept = kept.withColumn(own, F.row_number().over(Window.partitionBy(fp, text).orderBy(rid))).filter(F.col(own) == 1)
+    kept = kept.withColumn(whole, F.col(f"`{text}`").cast("string")).dropDuplicates([fp, whole])
     return single.select(*[f"`{c}`" for c in columns]).unionByName(kept.select(*[f"`{c}`" for c in columns]))
