@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def token_shards(df: DataFrame, key: int = 42, length: int = 512, per_shard: int
         coder = shared.value
         for batch in batches:
             buf, offsets = textvec.column(batch.column(1))
-            ids, bounds = coder.encode_rows(buf, offsets)
+            ids, bounds = coder.encode_exact(buf, offsets)
             n = -(-np.diff(bounds) // length)
             row = np.repeat(np.arange(len(n)), n)
             within = np.arange(len(row)) - (np.cumsum(n) - n)[row]
@@ -69,7 +71,7 @@ def token_shards(df: DataFrame, key: int = 42, length: int = 512, per_shard: int
             off = np.append(at, ends[-1:]).astype(np.int32) * 2 if len(at) else np.zeros(1, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(off.tobytes()), data])], names=["d", "seq"])
 
-    cutted = df.select(F.col(id_col).alias("d"), F.col(text).cast("string").alias("t")).mapInArrow(cut, f"d {kind}, seq binary")
+    cutted = df.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(cut, f"d {kind}, seq binary")
     stored = common.materialise(cutted.withColumn("m", F.monotonically_increasing_id()))
     by_task = {r[0]: r[1] for r in stored.groupBy(F.shiftright("m", 33).alias("p")).count().collect()}  # a row for each task of the scan
     base, total = {}, 0
@@ -130,19 +132,19 @@ def token_shards(df: DataFrame, key: int = 42, length: int = 512, per_shard: int
 def write_shards(shards: DataFrame, folder: str) -> DataFrame:
     """(shard, path, bytes): each shard as one file of fixed stride in a folder that all executors share.
 
-    A file is written beside its place and renamed, so a retried task leaves whole files only.
+    The folder is a path or a URI of any file system that Arrow knows (file, hdfs, s3, gs).  A file is written beside its
+    place and moved, so a retried task leaves whole files only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import uuid
-
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
         for batch in batches:
             for s, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                path = f"{folder}/shard-{s:08d}.bin"
-                with open(part := f"{path}.{uuid.uuid4().hex}", "wb") as f:
+                path = f"{root}/shard-{s:08d}.bin"
+                with store.open_output_stream(part := f"{path}.{uuid.uuid4().hex}") as f:
                     f.write(payload.as_buffer())
-                os.replace(part, path)
+                store.move(part, path)
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([path]), pa.array([len(payload.as_buffer())], pa.int64())], names=["shard", "path", "bytes"])
 
     return shards.select("shard", "payload").mapInArrow(run, "shard bigint, path string, bytes bigint")
@@ -151,8 +153,9 @@ def write_shards(shards: DataFrame, folder: str) -> DataFrame:
 def read_slots(folder: str, first: int, n: int, length: int, per_shard: int) -> np.ndarray:
     """Sequences of the slots [first, first + n), read by seeking; for resuming on one reader."""
     out = []
+    store, root = fs.FileSystem.from_uri(folder)
     for x in range(first, first + n):
-        with open(f"{folder}/shard-{x // per_shard:08d}.bin", "rb") as f:
+        with store.open_input_file(f"{root}/shard-{x // per_shard:08d}.bin") as f:
             f.seek((x % per_shard) * 2 * length)
             out.append(np.frombuffer(f.read(2 * length), "<u2"))
     return np.stack(out) if out else np.zeros((0, length), "<u2")

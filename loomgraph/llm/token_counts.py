@@ -64,7 +64,7 @@ def attribute_tokens(df: DataFrame, fields: Sequence[str] = ("source", "lang", "
             size[:, :-1] += 1
             joined = pc.binary_join_element_wise(*(c.cast(pa.large_string()) for c in cols), pa.scalar("\n", pa.large_string()))
             buf, offsets = textvec.column(joined)
-            ids, bounds = coder.encode_rows(buf, offsets)
+            ids, _ = coder.encode_exact(buf, offsets)
             field_bounds = np.concatenate([[0], np.cumsum(size.ravel())])
             starts, field = intervals(buf, np.unique(field_bounds))
             filled = np.flatnonzero(np.diff(field_bounds))
@@ -83,4 +83,4 @@ def attribute_tokens(df: DataFrame, fields: Sequence[str] = ("source", "lang", "
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, *(F.col(c).cast("string") for c in names)).mapInArrow(run, f"`{id_col}` {kind}, field string, line bigint, char_start bigint, char_end bigint, n_tokens bigint, n_crossing bigint")
+    return df.select(F.col(f"`{id_col}`").alias("d"), *(F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(names))).mapInArrow(run, f"`{id_col}` {kind}, field string, line bigint, char_start bigint, char_end bigint, n_tokens bigint, n_crossing bigint")
