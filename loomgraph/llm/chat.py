@@ -105,4 +105,4 @@ def parse_chats(df: DataFrame, conv: str = "conv_id", text: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())], names=[conv, "turn", "role", "text"])
 
     kind = df.schema[conv].dataType.simpleString()
-    return df.select(F.col(f"`{conv}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{conv}` {kind}, turn bigint, role string, text string")
+    return df.select(F.col(f"`{conv}`").alias("c"), F.col(f"`{text}`").alias("t")).mapInArrow(run, f"`{conv}` {kind}, turn bigint, role string, text string")

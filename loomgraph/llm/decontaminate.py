@@ -202,7 +202,7 @@ def match(buf: np.ndarray, offsets: np.ndarray, bench: Benchmark, coverage: floa
 
 def _items(benchmark: DataFrame, id_col: str, text: str) -> list[Benchmark]:
     """The benchmark is gathered in chunks on the driver (it doesn't grow with the corpus)."""
-    return build([(r[0], r[1]) for r in benchmark.select(id_col, F.col(text).cast("string")).toLocalIterator()])
+    return build([(r[0], r[1]) for r in benchmark.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string")).toLocalIterator()])
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id", coverage: float = COVERAGE, strict: bool = True) -> DataFrame:
@@ -223,7 +223,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", id_col:
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_kind.simpleString(), pa.string())
     docs = df.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
     out = None
-    for bench in _items(benchmark.withColumn(item_col, F.col(item_col).cast("string")) if arrow == pa.string() else benchmark, item_col, text) or [Benchmark([], {})]:
+    for bench in _items(benchmark.withColumn(item_col, F.col(f"`{item_col}`").cast("string")) if arrow == pa.string() else benchmark, item_col, text) or [Benchmark([], {})]:
         shared = spark.sparkContext.broadcast(bench)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -250,5 +250,5 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_col
                 keep[[x[0] for x in match(*textvec.column(batch.column(place)), shared.value, coverage, strict)]] = False
                 yield batch.filter(pa.array(keep))
 
-        df = df.mapInArrow(run, df.schema)
+        df = common.map_rows(df, run)
     return df

@@ -49,7 +49,7 @@ def encode_documents(df: DataFrame, text: str = "text", id_col: str = "doc_id",
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>, n_tokens bigint, n_bytes bigint, round_trip boolean")
+    return df.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>, n_tokens bigint, n_bytes bigint, round_trip boolean")
 
 
 def decode_tokens(df: DataFrame, ids: str = "token_ids", id_col: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -65,4 +65,4 @@ def decode_tokens(df: DataFrame, ids: str = "token_ids", id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, ids).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return df.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{ids}`").alias("ids")).mapInArrow(run, f"`{id_col}` {kind}, text string")

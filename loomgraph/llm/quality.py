@@ -214,9 +214,9 @@ def train(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, rounds: int = 150, r
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Field:
     """Features of a bounded sample of labelled documents go to the driver (some 100 bytes a line), where the field is fitted."""
     common.prepare(df.sparkSession)
-    chosen = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("d")).agg(F.max(label).cast("int").alias("y"))
+    chosen = labels.filter(F.col(f"`{label}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("d")).agg(F.max(f"`{label}`").cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64(F.col("d"), F.lit(5)), "d").limit(sample_rows)
-    sample = df.select(F.col(id_col).alias("d"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "d").select("d", "y", "t")
+    sample = df.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text}`").cast("string").alias("t")).join(F.broadcast(chosen), "d").select("d", "y", "t")
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +265,7 @@ def score_documents(df: DataFrame, field: Field, text: str = "text", id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q), pa.array(q >= threshold), pa.array(np.concatenate(count) if count else [], pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(bad) if bad else [], pa.int32()))], names=[id_col, "quality", "good", "n_lines", "bad_lines"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string")).mapInArrow(run, f"`{id_col}` {kind}, quality double, good boolean, n_lines bigint, bad_lines array<int>")
+    return df.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, f"`{id_col}` {kind}, quality double, good boolean, n_lines bigint, bad_lines array<int>")
 
 
 def classify(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

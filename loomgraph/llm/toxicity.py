@@ -132,17 +132,22 @@ def score_rows(buf: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[list
     return out, np.concatenate(counts) if counts else np.zeros(0, np.int64)
 
 
-def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, dominance: float = DOMINANCE) -> Model:
     """Token counts of a bounded sample of labelled documents, and of the candidates' background in all documents.
 
     Each text of a label counts once, and a token's toxic occurrences once for each different word before them, so that
     copies of a document or passage neither make its words toxic nor hide those that it shares with others.
+
+    ``dominance`` is the most that one preceding word may have of a token's toxic occurrences.  The later words of a
+    passage that toxic documents quote always follow the same word; without the bound they would count as toxic by
+    themselves.  Its price is that the later word of a fixed insult counts only where it also occurs otherwise; 1 counts
+    every word.
     """
     spark = df.sparkSession
     common.prepare(spark)
-    chosen = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("d")).agg(F.max(label).cast("int").alias("y"))
+    chosen = labels.filter(F.col(f"`{label}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("d")).agg(F.max(f"`{label}`").cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64(F.col("d"), F.lit(7)), "d").limit(sample_rows)
-    docs = df.select(F.col(id_col).alias("d"), F.col(text).cast("string").alias("t"))
+    docs = df.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
     sample = docs.join(F.broadcast(chosen), "d").select("y", "t").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +215,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc
     t[at], most[at] = near["kinds"], near["most"] / near["n"]
     c = counted["c"].to_numpy(float)
     delta, z = log_odds(t, c, bg, n_t, n_c, max(total, 1))
-    good = (z >= SIGNIFICANT) & (delta > COST) & (most <= DOMINANCE) if len(keys) else np.zeros(0, bool)
+    good = (z >= SIGNIFICANT) & (delta > COST) & (most <= dominance) if len(keys) else np.zeros(0, bool)
     score = delta[good] - COST
     p = (c[good] + 0.5) / (n_c + PRIOR)
     slope = karlin_slope(score, p) if good.any() else 1.0
@@ -255,7 +260,7 @@ def score_documents(df: DataFrame, model: Model, text: str = "text", id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(rows, _PASSAGE), pa.array([x < alpha for x in p], pa.bool_())], names=[id_col, "p_value", "passages", "toxic"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string")).mapInArrow(run, f"`{id_col}` {kind}, p_value double, passages {_PASSAGES}, toxic boolean")
+    return df.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, f"`{id_col}` {kind}, p_value double, passages {_PASSAGES}, toxic boolean")
 
 
 def find_toxic(df: DataFrame, labels: DataFrame, alpha: float = ALPHA, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -275,4 +280,4 @@ def drop_toxic(df: DataFrame, labels: DataFrame, text: str = "text", alpha: floa
             found, n = score_rows(*textvec.column(batch.column(place)), m)
             yield batch.filter(pa.array([not r or p_value([s for *_, s in r], int(k), m.slope, m.k) >= alpha for r, k in zip(found, n, strict=True)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return common.map_rows(df, run)

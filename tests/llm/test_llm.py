@@ -128,8 +128,9 @@ def brute_exact(rows):
 
 
 def test_exact_duplicates_awkward(spark, monkeypatch):
-    for rows in (500_000, 0):  # broadcast, and shuffled
-        monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", rows)
+    for size in (1 << 20, -1):  # broadcast, and shuffled
+        monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(exact_dedup, "REPEATS", 2)
         got = exact_dedup.find_exact_duplicates(docs(spark)).collect()
         assert sorted([(r.doc_id, r.keep_id, r.copies) for r in got], key=repr) == brute_exact(AWKWARD)
         assert sum(r.keep for r in got) == len({r[1] for r in AWKWARD if r[1] is not None}) + 2
@@ -235,15 +236,31 @@ def test_leaks_in_passes_are_the_same(spark):
 
 
 def test_leaks_on_given_tables_match_brute_force(spark):
-    texts = [tuple(r) for r in oracle("select doc_id, text from documents where length(text) < 3000").itertuples(index=False)]
+    texts = [tuple(r) for r in oracle("select doc_id, text from documents").itertuples(index=False)]
     items = [tuple(r) for r in oracle("select item_id, text from benchmark").itertuples(index=False)]
-    got = {(r.doc_id, r.item_id) for r in queries.op2_decontaminate(spark, SF).collect()}
-    ids = {d for d, _ in texts}
-    # brute force of whole items first, then windows only for the others that share words
-    want = {(d, i) for d, t in texts for i, q in items if q in t}
-    assert want <= got
-    rest = [(d, t) for d, t in texts if any(d == x for x, _ in got if x in ids)]
-    assert sorted(x for x in got if x[0] in ids) == brute_leaks(rest, items)
+    bench = common.table(spark, SF, "benchmark")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(common.table(spark, SF, "documents"), bench).collect()}
+    assert got == set(brute_leaks_indexed(texts, items)) and got >= {(d, i) for d, t in texts for i, q in items if q in t}
+    registered = {(r.doc_id, r.item_id) for r in queries.op2_decontaminate(spark, SF).collect()}
+    assert registered >= got
+
+
+def brute_leaks_indexed(texts, items):
+    """As brute_leaks over every document and item; only pairs that share no run of canonical tokens at all are passed over."""
+    n = decontaminate.WINDOW
+    where = {}
+    for i, q in items:
+        t = [a for a, _ in brute_template(q or "")]
+        size = min(n, len(t))
+        for p in range(len(t) - size + 1):
+            where.setdefault(tuple(t[p : p + size]), set()).add(i)
+    sizes = {len(k) for k in where}
+    out = []
+    for d, text in texts:
+        t = [a for a, _ in brute_template(text or "")]
+        some = {i for size in sizes for s in range(len(t) - size + 1) for i in where.get(tuple(t[s : s + size]), ())}
+        out += brute_leaks([(d, text)], [(i, q) for i, q in items if i in some])
+    return sorted(out)
 
 
 def test_leaks_awkward(spark):
@@ -317,6 +334,14 @@ def test_shards_hold_every_sequence_once(spark, tmp_path):
             got.append((d, tuple(x[:n].tolist())))
     assert all(r.n_sequences == per for r in rows[:-1])
     assert sorted(got, key=repr) == sorted(want, key=repr)
+    # slot permute(i) holds sequence i of the scan: undoing the permutation gives each document's sequences in a row, in order
+    order = [got[x] for x in shards.permute(np.arange(len(got)), len(got), 42)]
+    runs = [[x for _, x in run] for _, run in itertools.groupby(order, key=lambda x: x[0])]
+    flat = {}
+    for d, x in want:
+        flat.setdefault(d, []).append(x)
+    whole = [run for run, (d, _) in zip(runs, itertools.groupby(order, key=lambda x: x[0]), strict=True) if d is not None and d > 9]
+    assert whole == [flat[d] for d, _ in itertools.groupby(order, key=lambda x: x[0]) if d is not None and d > 9] and len(whole) > 100
     again = sorted(shards.token_shards(df, length=length, per_shard=per).collect(), key=lambda r: r.shard)
     assert [bytes(r.payload) for r in again] == [bytes(r.payload) for r in rows]
     files = shards.write_shards(out, str(tmp_path)).collect()
@@ -816,6 +841,68 @@ def test_copies_of_a_toxic_text_do_not_hide_its_words(spark):
     assert [found[len(texts) + i] for i in range(20)] == [True] * 10 + [False] * 10
 
 
+def test_names_with_a_dot(spark):
+    df = docs(spark, extra=False).withColumnsRenamed({"doc_id": "a.id", "text": "a.text"})
+    how = {"text": "a.text", "id_col": "a.id"}
+    bench = spark.createDataFrame([(1, ITEM)], "`b.id` bigint, `a.text` string")
+    labels = spark.createDataFrame([(1, 1, 0)], "`a.id` bigint, `l.quality` int, `l.toxic` int")
+    for out in (exact_dedup.find_exact_duplicates(df, **how), decontaminate.find_leaks(df, bench, item_col="b.id", **how), shards.token_shards(df, **how), near_dedup.find_near_duplicates(df, **how), encode.encode_documents(df, **how), token_counts.attribute_tokens(df, fields=["source", "a.text"], id_col="a.id")):
+        out.collect()
+    assert exact_dedup.drop_exact_duplicates(df, **how).columns == near_dedup.drop_near_duplicates(df, **how).columns == df.columns
+    near_dedup.drop_near_duplicates(df, **how).collect(), exact_dedup.drop_exact_duplicates(df, **how).collect()
+    quality.score_documents(df, quality.fit(df, labels, label="l.quality", **how), **how).collect()
+    toxicity.score_documents(df, toxicity.fit(df, labels, label="l.toxic", **how), **how).collect()
+
+
+def test_equal_hashes_in_shards_and_counts(spark, monkeypatch):
+    coder = bpe.Bpe(encode.VOCABULARY)
+    monkeypatch.setattr(bpe.textvec, "span_hashes", lambda buf, s, e: np.zeros(len(s), np.uint64))
+    buf, offsets = textvec.column(pa.array(["one two six ten", "abc two"]))
+    ids, bounds = coder.encode_exact(buf, offsets)
+    assert bytes(coder.decode(ids[bounds[1] : bounds[2]])) == b"abc two"
+    import inspect
+
+    assert all("encode_exact" in inspect.getsource(m) and "encode_rows" not in inspect.getsource(m) for m in (shards, token_counts, encode))
+
+
+def test_later_words_of_fixed_phrases_count_by_choice(spark):
+    rng = random.Random(4)
+    filler = [f"plain{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+
+    def text(toxic):
+        words = rng.choices(filler, k=40)
+        for _ in range(4 * toxic):
+            at = rng.randrange(1, len(words))
+            words[at:at] = ["yonder", "grickle"]
+        return " ".join(words)
+
+    texts = [text(i < 60) for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(300)], "doc_id bigint, toxic int")
+    word = np.array([textvec.word_hash("grickle")], np.uint64)
+    strict, free = (toxicity.fit(df, labels, dominance=x) for x in (toxicity.DOMINANCE, 1.0))
+    assert len(strict.table.find(word)[0]) == 0 and len(free.table.find(word)[0]) == 1
+
+
+def test_pages_without_a_label_keep_their_text(spark):
+    df = spark.createDataFrame([(1, "<div><p>one</p><p>two</p></div>"), (2, "<span>three</span>")], "page_id bigint, html string")
+    assert {r.page_id: r.text for r in html.extract(df, html.fit(df)).collect()} == {1: "one\ntwo", 2: "three"}
+    only_bad = spark.createDataFrame([(1, "<div><p>one</p><nav>menu</nav></div>")], "page_id bigint, html string")
+    assert html.extract(only_bad, html.fit(only_bad)).first().text == "one\nmenu"
+
+
+def test_features_count_whole_pieces_and_subtrees():
+    page = "<div class='ad x'><p>" + "7 words here " * 40 + "</p></div><p>1</p>"
+    t = html.parse(page)
+    f = html.node_features(t)
+    digits = 10
+    assert f[0, digits] == pytest.approx(40 / (13 * 40) * 10) and f[1, digits] == f[0, digits] and f[2, digits] == 10
+    base = 22 + html.OTHER + 1 + html._HASHED
+    assert (f[0, base:] == f[1, base:]).all() and f[0, base:].sum() == len({__import__("zlib").crc32(x) % html._HASHED for x in (b"ad", b"x")}) and f[2, base:].sum() == 0
+    deep = html.parse("<a class='ad'>" * 20_000 + "</b>" * 20_000 + "x")
+    assert len(deep.tag) == 20_000 and html.node_features(deep).shape[0] == 20_000 and (html.teacher(deep) == 0).all()
+
+
 def test_svg_does_not_swallow_the_page():
     def texts(page):
         return "".join(x for _, x in html.parse(page).pieces)
