@@ -1,7 +1,7 @@
 """Iterative and local graph analytics over edge tables ``(src, dst[, weight])`` of any id type.
 
-Iterations are joins and grouped sums on one hash partitioning; every few rounds the state is written to the shared
-folder, so plans stay short and a lost executor repeats little.  Sums are combined before the shuffle, as a message to a
+Iterations are joins and grouped sums on one hash partitioning; after each round the state is written to the shared
+folder, so plans stay short and a lost executor repeats one round.  Sums are combined before the shuffle, as a message to a
 vertex is a partial sum.
 """
 
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from loomgraph import session
 
-#: Rounds between two cuts of the lineage.
-EVERY = 5
 #: Edges (16 bytes each) that a task of source-parallel algorithms may hold.
 HELD_EDGES = 50_000_000
 
@@ -50,8 +48,9 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     """(id, rank), summing to 1.  Parallel edges count; the mass of vertices without an out-edge goes to the teleport vector.
 
     ``teleport`` (id, weight) makes it personalised; without weight in the graph it is uniform.  ``warm`` (id, rank) starts
-    from earlier ranks.  With ``tolerance`` None exactly ``rounds`` rounds run and no job is needed between cuts: a round's
-    dangling mass is a broadcast scalar of the same plan.
+    from earlier ranks.  A round joins the state to the links and sums messages and the state itself by id in one
+    aggregate, so it has three exchanges at most; the written state then gives the mass of the sinks and how far the
+    ranks moved, one scan of three columns.  With ``tolerance`` None exactly ``rounds`` rounds run.
     """
     ids = (nodes.select("id").distinct() if nodes is not None else vertices(edges))
     if nodes is not None:
@@ -73,19 +72,17 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
         state = base.join(warm.select("id", F.col("rank").alias("r0")), "id", "left").select("id", "sink", "t", F.coalesce("r0", F.lit(1.0 / n)).alias("rank"))
         mass = state.agg(F.sum("rank")).first()[0]
         state = state.withColumn("rank", F.col("rank") / mass)
-    old = state
-    for k in range(1, rounds + 1):
-        lost = state.filter("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        given = links.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
-        new = base.join(given, "id", "left").crossJoin(F.broadcast(lost))
-        state = new.select("id", "sink", "t", ((1 - damping) * F.col("t") + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") * F.col("t"))).alias("rank"))
-        if k % EVERY == 0 or k == rounds:
-            state = session.cut(state)
-            if tolerance is not None and k < rounds:
-                moved = state.join(old.select("id", F.col("rank").alias("r0")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("r0")))).first()[0]
-                if moved < tolerance * EVERY:
-                    break
-            old = state
+    state = session.cut(state.withColumn("before", F.col("rank")))
+    for k in range(rounds):
+        lost, moved = state.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("before")))).first()
+        if k and tolerance is not None and moved < tolerance:
+            break
+        given = links.join(state.select(F.col("id").alias("src"), "rank"), "src").select(F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("given"))
+        own = state.select("id", F.lit(0.0).alias("given"), "sink", "t", "rank")
+        both = given.select("id", "given", F.lit(None).cast("boolean").alias("sink"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("rank")).unionByName(own)
+        new = both.groupBy("id").agg(F.sum("given").alias("given"), F.max("sink").alias("sink"), F.max("t").alias("t"), F.max("rank").alias("before"))
+        old, state = state, session.cut(new.select("id", "sink", "t", ((1 - damping) * F.col("t") + damping * (F.col("given") + lost * F.col("t"))).alias("rank"), "before"))
+        session.discard(old)
     return state.select("id", "rank")
 
 
@@ -99,6 +96,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     Each round is a grouped minimum and a join; stars at least halve the depth of the forest, so rounds are few even on
     chains, where label propagation would need one a hop.
     """
+    edges = session.cut(edges.select("src", "dst"))
     now = session.cut(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).filter("a <> b").distinct())
     mark = None
     while True:
@@ -200,11 +198,13 @@ def cdlp(edges: DataFrame, rounds: int = 10) -> DataFrame:
     e = session.cut(undirected(edges))
     state = vertices(edges).withColumn("label", F.col("id"))
     for k in range(1, rounds + 1):
-        seen = e.join(state.withColumnRenamed("id", "src"), "src").groupBy("dst", "label").agg(F.count("*").alias("n"))
-        best = seen.groupBy("dst").agg(F.min(F.struct(-F.col("n"), F.col("label").alias("label"))).alias("b"))
-        state = state.select("id", F.col("label").alias("old")).join(best.select(F.col("dst").alias("id"), F.col("b.label").alias("label")), "id", "left").select("id", F.coalesce("label", "old").alias("label"))
-        if k % EVERY == 0 or k == rounds:
-            state = session.cut(state)
+        seen = e.join(state.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id"), "label").agg((-F.count("*")).alias("n"))
+        # a vertex's own label counts nothing, so it stays only where there is no neighbour
+        own = state.select("id", "label", F.lit(0).cast("bigint").alias("n"))
+        best = seen.unionByName(own).groupBy("id").agg(F.min(F.struct("n", "label")).alias("b"))
+        old, state = state, session.cut(best.select("id", "b.label"))
+        if k > 1:
+            session.discard(old)
     return state
 
 
@@ -218,15 +218,21 @@ def _oriented(pairs: DataFrame) -> DataFrame:
 
 def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c), each triangle of the undirected simple graph once."""
-    o = session.cut(_oriented(session.cut(neighbours(edges))))
+    return _triangles(session.cut(neighbours(edges)))
+
+
+def _triangles(pairs: DataFrame) -> DataFrame:
+    o = session.cut(_oriented(pairs))
     wedge = o.join(o.select("a", F.col("b").alias("c")), "a").filter("b <> c")
     return wedge.join(o.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"]).select("a", "b", "c")
 
 
 def lcc(edges: DataFrame) -> DataFrame:
     """(id, lcc): the share of a vertex's pairs of neighbours that are joined; 0 below two neighbours."""
-    deg = neighbours(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"))
-    hits = triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("t"))
+    edges = session.cut(edges.select("src", "dst"))
+    pairs = session.cut(neighbours(edges))
+    deg = pairs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"))
+    hits = _triangles(pairs).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("t"))
     k = F.col("k")
     return vertices(edges).join(deg, "id", "left").join(hits, "id", "left").select("id", F.when(k >= 2, 2.0 * F.coalesce("t", F.lit(0)) / (k * (k - 1))).otherwise(0.0).alias("lcc"))
 

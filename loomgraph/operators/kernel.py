@@ -69,17 +69,30 @@ def apply_deltas(fields: DataFrame, deltas: DataFrame) -> DataFrame:
     return j.select("id", F.col("new").alias("field"), F.least(F.lit(1.0), change + 0.5 * tail).alias("epsilon"))
 
 
-def glue(claims: DataFrame, tolerance: float = 0.0, floor: int = 0) -> DataFrame:
-    """(left, right, verdict, witness) of documents that claim a shared variable: NEG where one disagrees, POS where all agree, from (doc, var, value, grade).
+def glue(edges: DataFrame, claims: DataFrame, tolerance: float = 0.0, floor: int = 0, anchors: DataFrame | None = None) -> DataFrame:
+    """(src, dst, verdict, witness, doubly_grounded) of relational edges (src, dst), each once, by the claims of both ends.
 
-    Claims below the grade don't count; the witness is the first variable that disagrees, else the last that agrees.
+    Claims are (doc, var, value, grade), with ``at`` for their order (else that of the variables); of several of one
+    document and variable the last counts at dst.  In the order of src's claims, the first variable that both claim and
+    that is below the ``floor`` on a side gives ZERO, or that differs by more than the tolerance gives NEG with it as
+    witness; if none does, POS with the last as witness; without a shared variable ZERO.  ``anchors`` (id) ground ends.
     """
-    c = claims.filter(F.col("grade") >= floor)
-    a = c.select(F.col("doc").alias("left"), "var", F.col("value").alias("x"))
-    b = c.select(F.col("doc").alias("right"), "var", F.col("value").alias("y"))
-    p = a.join(b, "var").filter("left < right").withColumn("ok", F.abs(F.col("x") - F.col("y")) <= tolerance)
-    g = p.groupBy("left", "right").agg(F.min("ok").alias("ok"), F.min(F.when(~F.col("ok"), F.col("var"))).alias("bad"), F.max("var").alias("good"))
-    return g.select("left", "right", F.when(F.col("ok"), "POS").otherwise("NEG").alias("verdict"), F.coalesce("bad", "good").alias("witness"))
+    c = claims if "at" in claims.columns else claims.withColumn("at", F.lit(0))
+    e = edges.select("src", "dst").distinct()
+    right = c.groupBy(F.col("doc").alias("dst"), "var").agg(F.max(F.struct("at", F.col("value").alias("y"), F.col("grade").alias("h"))).alias("r")).select("dst", "var", "r.y", "r.h")
+    both = e.join(c.select(F.col("doc").alias("src"), "var", "at", F.col("value").alias("x"), F.col("grade").alias("g")), "src").join(right, ["dst", "var"])
+    low, apart = F.least("g", "h") < floor, F.abs(F.col("x") - F.col("y")) > tolerance
+    seen = both.select("src", "dst", F.when(low | apart, F.struct("at", "var", low.alias("low"))).alias("stop"), F.struct("at", "var").alias("seen"))
+    v = seen.groupBy("src", "dst").agg(F.min("stop").alias("stop"), F.max("seen").alias("last"))
+    v = e.join(v, ["src", "dst"], "left")
+    none = F.col("last").isNull() | F.coalesce(F.col("stop.low"), F.lit(False))
+    out = v.select("src", "dst", F.when(none, "ZERO").when(F.col("stop").isNull(), "POS").otherwise("NEG").alias("verdict"), F.when(~none, F.coalesce("stop.var", "last.var")).alias("witness"))
+    if anchors is None:
+        return out.withColumn("doubly_grounded", F.lit(False))
+    ids = anchors.select("id").distinct()
+    for end in ("src", "dst"):
+        out = out.join(ids.select(F.col("id").alias(end), F.lit(True).alias(f"{end}_")), end, "left")
+    return out.select("src", "dst", "verdict", "witness", (F.coalesce("src_", F.lit(False)) & F.coalesce("dst_", F.lit(False))).alias("doubly_grounded"))
 
 
 # causal cuts: (writer, seq) tables

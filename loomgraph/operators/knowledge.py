@@ -33,28 +33,34 @@ def profile_class(graph: Graph, label: str) -> DataFrame:
 
 
 def keys_of(graph: Graph) -> DataFrame:
-    """(id, key): the property names and edge types of each node."""
-    parts = [t.df.filter(F.col(f"`{p}`").isNotNull()).select("id", F.lit(p).alias("key")) for t in graph.node_tables for p in t.properties]
-    parts.append(graph.edges().select(F.col("src").alias("id"), F.col("label").alias("key")).distinct())
-    return reduce(DataFrame.union, parts)
+    """(id, kind, key): the property names (kind property) and the types of the out-edges and in-edges of each node."""
+    parts = [t.df.filter(F.col(f"`{p}`").isNotNull()).select("id", F.lit("property").alias("kind"), F.lit(p).alias("key")) for t in graph.node_tables for p in t.properties]
+    e = graph.edges()
+    parts += [e.select(F.col(end).alias("id"), F.lit(kind).alias("kind"), F.col("label").alias("key")) for end, kind in (("src", "out"), ("dst", "in"))]
+    return reduce(DataFrame.union, parts).distinct()
+
 
+def recommend_attributes(graph: Graph, label: str, least: float = 0.2, k: int = 10) -> DataFrame:
+    """(kind, key, peer_coverage, own_coverage, score), the k best: attributes that peers have more often than the label's nodes.
 
-def recommend_attributes(graph: Graph, label: str, least: float = 0.2) -> DataFrame:
-    """(key, peer_coverage, own_coverage, score): keys that nodes of other labels which share a key have and the label's lack."""
+    Peers are nodes of other labels that share an attribute with some node of the label; the score is
+    peer_coverage * (1 - own_coverage), ties by key.
+    """
     ids = graph.nodes(label).select("id").distinct()
-    k = session.cut(keys_of(graph))
-    own = k.join(ids, "id", "left_semi")
-    peers = k.join(own.select("key").distinct(), "key", "left_semi").select("id").distinct().join(ids, "id", "left_anti")
+    every = session.cut(keys_of(graph).join(graph.nodes().select("id").distinct(), "id", "left_semi"))
+    own = every.join(ids, "id", "left_semi")
+    peers = session.cut(every.join(own.select("kind", "key").distinct(), ["kind", "key"], "left_semi").select("id").distinct().join(ids, "id", "left_anti"))
     n = peers.agg(F.count("*").alias("peers")).crossJoin(ids.agg(F.count("*").alias("own")))
-    have = k.join(peers, "id", "left_semi").groupBy("key").agg(F.count("*").alias("p")).join(own.groupBy("key").agg(F.count("*").alias("o")), "key", "left").crossJoin(F.broadcast(n))
+    have = every.join(peers, "id", "left_semi").groupBy("kind", "key").agg(F.count("*").alias("p")).join(own.groupBy("kind", "key").agg(F.count("*").alias("o")), ["kind", "key"], "left").crossJoin(F.broadcast(n))
     pc, oc = F.col("p") / F.col("peers"), F.coalesce(F.col("o"), F.lit(0)) / F.col("own")
-    return have.select("key", pc.alias("peer_coverage"), oc.alias("own_coverage"), (pc * (1 - oc)).alias("score")).filter((F.col("peer_coverage") >= least) & (F.col("score") > 0)).orderBy(F.col("score").desc(), "key")
+    out = have.select("kind", "key", pc.alias("peer_coverage"), oc.alias("own_coverage"), (pc * (1 - oc)).alias("score"))
+    return out.filter((F.col("peer_coverage") >= least) & (F.col("own_coverage") < F.col("peer_coverage"))).orderBy(F.col("score").desc(), "key").limit(k)
 
 
 def rank_attributes(graph: Graph, label: str, rank: DataFrame, least: float = 0.2) -> DataFrame:
     """(key, score): recommendations ranked by coverage, by the trust (``rank``: id, rank) of the peers that have them, and by expected gain, fused."""
     rec = session.cut(recommend_attributes(graph, label, least))
-    trust = keys_of(graph).join(rec.select("key"), "key", "left_semi").join(rank, "id").groupBy("key").agg(F.avg("rank").alias("trust"))
+    trust = keys_of(graph).join(rec.select("kind", "key"), ["kind", "key"], "left_semi").join(rank, "id").groupBy("key").agg(F.avg("rank").alias("trust"))
     r = rec.join(trust, "key", "left").fillna({"trust": 0.0})
 
     def place(c: str) -> DataFrame:
@@ -110,38 +116,62 @@ def validate(graph: Graph, shapes: list[dict]) -> DataFrame:
 # uncertain inference
 
 
-def revise(beliefs: DataFrame) -> DataFrame:
-    """One belief a (src, dst): strength weighted by confidence, confidence 1 - product(1 - c), at most .99."""
-    c = F.col("confidence")
-    return beliefs.groupBy("src", "dst").agg((F.sum(F.col("strength") * c) / F.sum(c)).alias("strength"), F.least(F.lit(0.99), 1 - F.exp(F.sum(F.log(F.greatest(1 - c, F.lit(1e-12)))))).alias("confidence"))
+def revise(beliefs: DataFrame, gain: float = 1.05) -> DataFrame:
+    """One belief a (src, dst).
+
+    Two or more of a pair are revised to the strength weighted by confidence and the confidence 1 - product(1 - c), at
+    most .99, if that beats the strength or the confidence of the strongest by ``gain``; else the strongest stays.
+    """
+    c, s = F.col("confidence"), F.col("strength")
+    total = F.sum(c)
+    g = beliefs.groupBy("src", "dst").agg(
+        F.count("*").alias("n"), F.max(F.struct(s.alias("s"), c.alias("c"))).alias("best"), F.when(total > 0, F.sum(s * c) / total).alias("s"),
+        F.least(F.lit(0.99), 1 - F.when(F.max(c) >= 1, 0.0).otherwise(F.exp(F.sum(F.log(F.when(c < 1, 1 - c)))))).alias("c"),
+    )
+    s = F.coalesce("s", "best.s")
+    better = (F.col("n") > 1) & ((s > F.col("best.s") * gain) | (F.col("c") > F.col("best.c") * gain))
+    return g.select("src", "dst", F.when(better, F.least(s, F.lit(1.0))).otherwise(F.col("best.s")).alias("strength"), F.when(better, F.col("c")).otherwise(F.col("best.c")).alias("confidence"))
 
 
 def deduce(beliefs: DataFrame, least: float = 0.3) -> DataFrame:
-    """(src, dst, strength, confidence) of new a -> c from a -> b -> c: s = s1 s2, c = .9 c1 c2, the surest derivation of each pair."""
+    """(src, dst, strength, confidence) of a -> c from a -> b -> c: s = s1 s2, c = .9 c1 c2; of each pair the strongest derivation, where it is stronger than what is known."""
     a = beliefs.select("src", F.col("dst").alias("m"), F.col("strength").alias("s1"), F.col("confidence").alias("c1"))
     b = beliefs.select(F.col("src").alias("m"), "dst", F.col("strength").alias("s2"), F.col("confidence").alias("c2"))
     d = a.join(b, "m").filter("src <> dst").select("src", "dst", (F.col("s1") * F.col("s2")).alias("strength"), (0.9 * F.col("c1") * F.col("c2")).alias("confidence"))
-    best = d.filter(F.col("strength") >= least).groupBy("src", "dst").agg(F.max(F.struct("confidence", "strength")).alias("b")).select("src", "dst", "b.strength", "b.confidence")
-    return best.join(beliefs.select("src", "dst"), ["src", "dst"], "left_anti")
+    best = d.filter(F.col("strength") >= least).groupBy("src", "dst").agg(F.max(F.struct("strength", "confidence")).alias("b")).select("src", "dst", "b.strength", "b.confidence")
+    known = beliefs.groupBy("src", "dst").agg(F.max("strength").alias("known"))
+    return best.join(known, ["src", "dst"], "left").filter("known is null or strength > known").drop("known")
 
 
-def forward_chain(beliefs: DataFrame, rounds: int = 80, least: float = 0.3, least_confidence: float = 0.01) -> DataFrame:
-    """Revision, then deduction to a fixpoint in rounds over all pairs at once; new beliefs only ever join what was there."""
-    now = session.cut(revise(beliefs))
+def forward_chain(beliefs: DataFrame, rounds: int = 80, least: float = 0.3, abduction: bool = True) -> DataFrame:
+    """(src, dst, strength, confidence, rule): revision, deduction in rounds over all pairs at once until none is new or stronger, then abduction.
+
+    No bound on how many are derived: at the fixpoint a pair has its strongest chain, whatever the order.
+    """
+    now = session.cut(revise(beliefs).withColumn("rule", F.lit("given")))
     for _ in range(rounds):
-        new = session.cut(deduce(now, least).filter(F.col("confidence") >= least_confidence))
+        new = session.cut(deduce(now, least).withColumn("rule", F.lit("deduction")))
         if new.limit(1).count() == 0:
             break
-        now = session.cut(now.unionByName(new))
+        both = now.unionByName(new).groupBy("src", "dst").agg(F.max(F.struct("strength", "confidence", "rule")).alias("b"))
+        now = session.cut(both.select("src", "dst", "b.*"))
+    if abduction:
+        now = now.unionByName(abduce(now, least=least).select(F.col("a").alias("src"), F.col("b").alias("dst"), "strength", "confidence", F.lit("abduction").alias("rule")))
     return now
 
 
-def abduce(beliefs: DataFrame, shared: int = 3, least: float = 0.55) -> DataFrame:
-    """(a, b, shared, strength) of pairs with at least so many common targets."""
-    x = beliefs.select(F.col("src").alias("a"), "dst", F.col("strength").alias("sa"))
-    y = beliefs.select(F.col("src").alias("b"), "dst", F.col("strength").alias("sb"))
-    pairs = x.join(y, "dst").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.avg(F.col("sa") * F.col("sb")).alias("strength"))
-    return pairs.filter((F.col("shared") >= shared) & (F.col("strength") >= least))
+def abduce(beliefs: DataFrame, shared: int = 3, strong: float = 0.55, least: float = 0.3) -> DataFrame:
+    """(a, b, shared, strength, confidence) of unlinked pairs a < b that both point strongly at ``shared`` targets or more: .4 of the squares of the least strength and confidence among those edges.
+
+    All pairs of a target's sources meet, so a target of many sources is costly.
+    """
+    e = beliefs.filter(F.col("strength") >= strong).select("src", "dst", "strength", "confidence")
+    x = e.select(F.col("src").alias("a"), "dst", F.col("strength").alias("sa"), F.col("confidence").alias("ca"))
+    y = e.select(F.col("src").alias("b"), "dst", F.col("strength").alias("sb"), F.col("confidence").alias("cb"))
+    pairs = x.join(y, "dst").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("sa", "sb")).alias("s"), F.min(F.least("ca", "cb")).alias("c")).filter(F.col("shared") >= shared)
+    linked = beliefs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    out = pairs.join(linked, ["a", "b"], "left_anti").select("a", "b", "shared", (F.col("s") * F.col("s") * 0.4).alias("strength"), (F.col("c") * F.col("c") * 0.4).alias("confidence"))
+    return out.filter(F.col("strength") >= least)
 
 
 def decay_confidence(df: DataFrame, age_days: str, rate: float = 0.85, grace: int = 14, floor: float = 0.1) -> DataFrame:
@@ -163,37 +193,48 @@ def stimulate(attention: DataFrame, amounts: DataFrame) -> DataFrame:
     return j.select("id", sti.alias("sti"), lti.alias("lti"), (F.col("vlti") | (lti >= 700)).alias("vlti"))
 
 
-def spread_attention(attention: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each node gives .65 x .4 of its importance, shared evenly, to its first twelve neighbours (by id) of each edge type."""
+def spread_attention(attention: DataFrame, edges: DataFrame, least: float = 20.0) -> DataFrame:
+    """Each node of importance ``least`` or more gives .65 x .4 of it to each of its first twelve neighbours (by id) of each edge type, all at once."""
+    hot = attention.filter(F.col("sti") >= least).select(F.col("id").alias("src"), "sti")
     rank = F.row_number().over(Window.partitionBy("src", "label").orderBy("dst"))
-    near = edges.withColumn("r", rank).filter(F.col("r") <= FIRST)
-    fan = near.groupBy("src").agg(F.count("*").alias("fan"))
-    give = near.join(fan, "src").join(attention.select(F.col("id").alias("src"), "sti"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("sti") * SHARE * SPREAD / F.col("fan")).alias("got"))
-    return attention.join(give, "id", "left").select("id", F.least(F.lit(CAP), F.col("sti") + F.coalesce("got", F.lit(0.0))).alias("sti"), "lti", "vlti")
+    near = edges.join(hot, "src").withColumn("r", rank).filter(F.col("r") <= FIRST)
+    give = near.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("sti") * SHARE * SPREAD).alias("got"))
+    return attention.join(give, "id", "left").select("id", F.when(F.col("got").isNull(), F.col("sti")).otherwise(F.least(F.lit(CAP), F.col("sti") + F.col("got"))).alias("sti"), "lti", "vlti")
 
 
 def decay_attention(attention: DataFrame, rate: float = 0.85, floor: float = 100.0) -> DataFrame:
-    """Importance falls by the rate; what is important in the very long term stays at the floor at least."""
+    """Importance falls by the rate; what is important in the very long term stays at the floor at least.  Nodes without importance stay so."""
     s = F.col("sti") * rate
-    return attention.withColumn("sti", F.when(F.col("vlti"), F.greatest(F.lit(floor), s)).otherwise(s))
+    return attention.withColumn("sti", F.when(F.col("sti") <= 0, F.col("sti")).when(F.col("vlti"), F.greatest(F.lit(floor), s)).otherwise(s))
 
 
 # claims
 
-def admit(claims: DataFrame, scopes: list[str], relevance: float = 0.2, depth: int = 2, credibility: float = 0.1) -> DataFrame:
-    """Adds ``admitted`` and ``reason``: gates in turn on relevance, hearsay depth (unless excepted), credibility (opinions count half) and privilege.
+def admit(claims: DataFrame, scopes: list[str], relevance: float = 0.2, depth: int = 2, trust: float = 0.1, allow_opinion: bool = True, exceptions: list[tuple[str, Column]] = (), policy: Column | None = None) -> DataFrame:
+    """Adds ``admitted``, ``weight``, ``excluded_at`` (the gate, or null) and ``exception`` (what let hearsay pass, or null).
 
-    Columns: relevance, hearsay_depth, exception (boolean), opinion (boolean), credibility, privileges (array).
+    Gates in turn: relevance (below the floor; unscored is relevant), hearsay (a chain deeper than ``depth``, unless it is a
+    business record, an admission, or one of ``exceptions``, pairs of a name and a condition), opinion (model-generated
+    claims, if not allowed; else they weigh half), credibility (trust below the floor; unmeasured is unimpeached),
+    privilege (a scope that isn't held) and discretion (``policy``, a condition that must hold).  Columns: relevance,
+    chain_depth, signed_connector, source_kind, source_trust, visibility_scope.
     """
-    weight = F.col("credibility") * F.when(F.coalesce(F.col("opinion"), F.lit(False)), 0.5).otherwise(1.0)
-    reason = (
-        F.when(F.coalesce(F.col("relevance"), F.lit(0.0)) < relevance, "relevance")
-        .when((F.coalesce(F.col("hearsay_depth"), F.lit(0)) >= depth) & ~F.coalesce(F.col("exception"), F.lit(False)), "hearsay")
-        .when(F.coalesce(weight, F.lit(0.0)) < credibility, "credibility")
-        .when(F.size(F.array_except(F.coalesce(F.col("privileges"), F.expr("cast(array() as array<string>)")), F.array(*map(F.lit, scopes)) if scopes else F.expr("cast(array() as array<string>)"))) > 0, "privilege")
-        .otherwise("admitted")
-    )
-    return claims.withColumns({"weight": weight, "reason": reason}).withColumn("admitted", F.col("reason") == "admitted")
+    no_scope = F.expr("cast(array() as array<string>)")
+    known = [("business-record", F.coalesce(F.col("signed_connector"), F.lit(False))), ("admission", F.coalesce(F.col("source_kind") == "attested", F.lit(False))), *exceptions]
+    deep = F.coalesce(F.col("chain_depth"), F.lit(0)) > depth
+    exception = F.when(deep, F.coalesce(*[F.when(c, F.lit(n)) for n, c in known]))
+    opinion = F.coalesce(F.col("source_kind") == "model-generated", F.lit(False))
+    held = F.array(*map(F.lit, scopes)) if scopes else no_scope
+    gate = (
+        F.when(F.col("relevance") < relevance, "relevance").when(deep & exception.isNull(), "hearsay").when(opinion if not allow_opinion else F.lit(False), "opinion")
+        .when(F.col("source_trust") < trust, "credibility").when(F.size(F.array_except(F.coalesce(F.col("visibility_scope"), no_scope), held)) > 0, "privilege")
+    )
+    if policy is not None:
+        gate = gate.when(~F.coalesce(policy, F.lit(False)), "discretion")
+    out = claims.withColumns({"excluded_at": gate, "exception": exception})
+    passed = F.col("excluded_at").isNull()
+    # a gate before hearsay ends the chain, so no exception was needed
+    return out.withColumns({"admitted": passed, "weight": F.when(passed, F.when(opinion, 0.5).otherwise(1.0)).otherwise(0.0), "exception": F.when(passed | ~F.col("excluded_at").isin("relevance", "hearsay"), F.col("exception"))})
 
 
 # content manifests

@@ -14,6 +14,10 @@ from loomgraph.functions import values
 from loomgraph.operators import graph
 
 
+#: Decimal digits of a personalised rank that order it, so that the order of a sum's terms doesn't.
+DIGITS = 12
+
+
 def tokens(c):
     """Lower-case runs of ASCII letters and digits."""
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
@@ -26,22 +30,19 @@ def terms(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFram
     return t.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def _equal(word: str):
-    return lambda x: x == F.lit(word)
-
-
 def bm25(df: DataFrame, query: str, k: int = 10, k1: float = 1.5, b: float = 0.75, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, score) of the k best documents, ties by id.
 
-    Only the query's words leave the scan: a document's words are counted in place, so nothing but its few frequencies
-    is exchanged, and the corpus statistics are one aggregate.
+    Texts are read once: a document's words are counted in place and its length and few frequencies written, from which
+    the corpus statistics, one aggregate, and the scores are taken.
     """
     words = list(dict.fromkeys(re.findall("[a-z0-9]+", query.lower())))
     if not words:
         return df.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
-    w = F.col("w")
-    base = df.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    base = base.select("id", F.size("w").alias("length"), *[F.size(F.filter(w, _equal(q))).alias(f"tf{i}") for i, q in enumerate(words)])
+    # regexp_count inlines nothing, unlike an array of tokens; a word's runs are counted whole
+    low = df.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("x"))
+    counts = [F.regexp_count("x", F.lit(f"(?<![a-z0-9]){q}(?![a-z0-9])")).alias(f"tf{i}") for i, q in enumerate(words)]
+    base = session.cut(low.select("id", F.regexp_count("x", F.lit("[a-z0-9]++")).alias("length"), *counts))
     stats = base.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     hit = base.filter(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(words))])).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
@@ -119,14 +120,40 @@ def mmr(candidates: list[tuple[object, float, list[float]]], k: int, trade: floa
 
 
 def hybrid(legs: list[DataFrame], k: int = 10, vectors: DataFrame | None = None, trade: float = 0.5) -> DataFrame:
-    """(id, score): legs (id, score), each its own top 3k, fused by rank; with vectors (id, vector) reranked for diversity."""
+    """(id, score): legs (id, score), each its own top 3k, fused by rank; a graph leg is :func:`graph_leg`.
+
+    With vectors (id, vector) the fused candidates are reranked for diversity and the i-th scores 1 / i.
+    """
     fused = reciprocal_rank_fusion([placed(x.orderBy(F.col("score").desc(), "id").limit(3 * k)) for x in legs]).orderBy(F.col("score").desc(), "id")
     if vectors is None:
         return fused.limit(k)
-    top = fused.limit(3 * k).join(vectors, "id", "left").orderBy(F.col("score").desc(), "id").collect()
+    top = fused.limit(3 * k * len(legs)).join(vectors, "id", "left").orderBy(F.col("score").desc(), "id").collect()  # all candidates: legs of 3k rows
     chosen = mmr([(r["id"], 1.0 / (i + 1), r["vector"] or [0.0]) for i, r in enumerate(top)], k, trade)
-    score = {r["id"]: r["score"] for r in top}
-    return fused.sparkSession.createDataFrame([(x, score[x], i + 1) for i, x in enumerate(chosen)], f"id {fused.schema['id'].dataType.simpleString()}, score double, place int")
+    return fused.sparkSession.createDataFrame([(x, 1.0 / (i + 1), i + 1) for i, x in enumerate(chosen)], f"id {fused.schema['id'].dataType.simpleString()}, score double, place int")
+
+
+def graph_leg(edges: DataFrame, seeds: list, rounds: int = 20) -> DataFrame:
+    """(id, score) by personalised rank from the seeds, a leg of :func:`hybrid`."""
+    kind = edges.schema["src"].dataType.simpleString()
+    s = edges.sparkSession.createDataFrame([(x, 1.0) for x in seeds], f"id {kind}, weight double")
+    return graph.pagerank(edges, rounds=rounds, tolerance=None, teleport=s).select("id", F.round("rank", DIGITS).alias("score"))
+
+
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """(id, place) of a whole table: a range sort, whose partitions are numbered by the sizes of those before, so that no task holds all rows."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = session.cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", F.monotonically_increasing_id().alias("m")))
+    part = F.shiftright("m", 33)
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).count().collect())  # a row a partition
+    base, total = {}, 0
+    for p, n in sizes:
+        base[p] = total
+        total += n
+    if not base:
+        return rows.select("id", F.lit(0).cast("bigint").alias("place"))
+    start = F.create_map(*[F.lit(x).cast("bigint") for kv in base.items() for x in kv])
+    return rows.select("id", (F.try_element_at(start, part) + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"))
 
 
 def chunk_documents(df: DataFrame, size: int = 1500, overlap: int = 200, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -186,10 +213,12 @@ def geodesic_nearest(edges: DataFrame, source, k: int = 10) -> DataFrame:
 
 
 def explore_from(edges: DataFrame, seeds: list, k: int = 10, rounds: int = 20) -> DataFrame:
-    """(id, score): fusion of personalised rank and adjacency to the seeds, without the seeds."""
-    spark = edges.sparkSession
-    kind = edges.schema["src"].dataType.simpleString()
-    s = spark.createDataFrame([(x, 1.0) for x in seeds], f"id {kind}, weight double")
-    ppr = graph.pagerank(edges, rounds=rounds, tolerance=None, teleport=s).join(s.select("id"), "id", "left_anti").orderBy(F.col("rank").desc(), "id").limit(3 * k)
-    near = graph.neighbours(edges).join(F.broadcast(s.select(F.col("id").alias("src"))), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("score")).join(s.select("id"), "id", "left_anti").orderBy(F.col("score").desc(), "id").limit(3 * k)
-    return reciprocal_rank_fusion([placed(ppr, "rank"), placed(near)]).orderBy(F.col("score").desc(), "id").limit(k)
+    """(id, score) of the k best of all vertices with a personalised rank, without the seeds: their rank and their adjacency to the seeds, in either direction, fused over whole lists."""
+    ids = edges.sparkSession.createDataFrame([(x,) for x in seeds], f"id {edges.schema['src'].dataType.simpleString()}")
+    edges = session.cut(edges.select("src", "dst"))
+    ppr = session.cut(graph_leg(edges, seeds, rounds).filter("score > 0").join(F.broadcast(ids), "id", "left_anti"))
+    ends = edges.distinct()
+    near = ends.join(F.broadcast(ids.withColumnRenamed("id", "src")), "src").select(F.col("dst").alias("id")).unionByName(ends.join(F.broadcast(ids.withColumnRenamed("id", "dst")), "dst").select(F.col("src").alias("id")))
+    adjacent = ppr.select("id").join(near.groupBy("id").agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("score"))
+    lists = [ranked(x, F.col("score").desc(), F.col("id")) for x in (ppr, adjacent)]
+    return reciprocal_rank_fusion(lists).orderBy(F.col("score").desc(), "id").limit(k)

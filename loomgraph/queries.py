@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import values
+from loomgraph.model import EdgeTable, Graph, NodeTable
 from loomgraph.operators import graph, kernel, knowledge, retrieval
 from loomgraph.plans import cypher, gremlin, pattern, sparql
 from loomgraph.sources import entities
@@ -38,15 +39,44 @@ def sparql_query(name: str, text: str, sql: str, typed: dict[str, str] | None =
 
 # triples
 
-add("triples_projection", """
-    SELECT 'nation:' || n_nationkey AS s, 'rdf:type' AS p, 'Nation' AS o, false AS is_iri FROM nation
-    UNION ALL SELECT 'nation:' || n_nationkey, 'n_nationkey', n_nationkey::VARCHAR, false FROM nation
-    UNION ALL SELECT 'nation:' || n_nationkey, 'n_name', n_name, false FROM nation
-    UNION ALL SELECT 'nation:' || n_nationkey, 'n_regionkey', n_regionkey::VARCHAR, false FROM nation
-    UNION ALL SELECT 'nation:' || n_nationkey, 'IN_REGION', 'region:' || n_regionkey, true FROM nation""")(
-    lambda spark, d: star_graph(spark, d).triples().filter(F.col("s").startswith("nation:")).drop("n")
-)
-add("triples_projection_whole")(lambda spark, d: star_graph(spark, d).triples().drop("n"))
+add("triples_projection", r"""
+    SELECT 'region:' || r_regionkey AS s, 'rdf:type' AS p, 'Region' AS o, false AS is_iri FROM region
+    UNION ALL SELECT 'region:' || r_regionkey, 'r_regionkey', r_regionkey::VARCHAR, false FROM region WHERE r_regionkey IS NOT NULL
+    UNION ALL SELECT 'region:' || r_regionkey, 'r_name', r_name, false FROM region WHERE r_name IS NOT NULL
+    UNION ALL SELECT 'nation:' || n_nationkey AS s, 'rdf:type' AS p, 'Nation' AS o, false AS is_iri FROM nation
+    UNION ALL SELECT 'nation:' || n_nationkey, 'n_nationkey', n_nationkey::VARCHAR, false FROM nation WHERE n_nationkey IS NOT NULL
+    UNION ALL SELECT 'nation:' || n_nationkey, 'n_name', n_name, false FROM nation WHERE n_name IS NOT NULL
+    UNION ALL SELECT 'nation:' || n_nationkey, 'n_regionkey', n_regionkey::VARCHAR, false FROM nation WHERE n_regionkey IS NOT NULL
+    UNION ALL SELECT 'customer:' || c_custkey AS s, 'rdf:type' AS p, 'Customer' AS o, false AS is_iri FROM customer
+    UNION ALL SELECT 'customer:' || c_custkey, 'c_custkey', c_custkey::VARCHAR, false FROM customer WHERE c_custkey IS NOT NULL
+    UNION ALL SELECT 'customer:' || c_custkey, 'c_name', c_name, false FROM customer WHERE c_name IS NOT NULL
+    UNION ALL SELECT 'customer:' || c_custkey, 'c_nationkey', c_nationkey::VARCHAR, false FROM customer WHERE c_nationkey IS NOT NULL
+    UNION ALL SELECT 'customer:' || c_custkey, 'c_acctbal', regexp_replace(c_acctbal::VARCHAR, '\.0$', ''), false FROM customer WHERE c_acctbal IS NOT NULL
+    UNION ALL SELECT 'customer:' || c_custkey, 'c_mktsegment', c_mktsegment, false FROM customer WHERE c_mktsegment IS NOT NULL
+    UNION ALL SELECT 'supplier:' || s_suppkey AS s, 'rdf:type' AS p, 'Supplier' AS o, false AS is_iri FROM supplier
+    UNION ALL SELECT 'supplier:' || s_suppkey, 's_suppkey', s_suppkey::VARCHAR, false FROM supplier WHERE s_suppkey IS NOT NULL
+    UNION ALL SELECT 'supplier:' || s_suppkey, 's_name', s_name, false FROM supplier WHERE s_name IS NOT NULL
+    UNION ALL SELECT 'supplier:' || s_suppkey, 's_nationkey', s_nationkey::VARCHAR, false FROM supplier WHERE s_nationkey IS NOT NULL
+    UNION ALL SELECT 'supplier:' || s_suppkey, 's_acctbal', regexp_replace(s_acctbal::VARCHAR, '\.0$', ''), false FROM supplier WHERE s_acctbal IS NOT NULL
+    UNION ALL SELECT 'part:' || p_partkey AS s, 'rdf:type' AS p, 'Part' AS o, false AS is_iri FROM part
+    UNION ALL SELECT 'part:' || p_partkey, 'p_partkey', p_partkey::VARCHAR, false FROM part WHERE p_partkey IS NOT NULL
+    UNION ALL SELECT 'part:' || p_partkey, 'p_name', p_name, false FROM part WHERE p_name IS NOT NULL
+    UNION ALL SELECT 'part:' || p_partkey, 'p_brand', p_brand, false FROM part WHERE p_brand IS NOT NULL
+    UNION ALL SELECT 'part:' || p_partkey, 'p_type', p_type, false FROM part WHERE p_type IS NOT NULL
+    UNION ALL SELECT 'part:' || p_partkey, 'p_size', p_size::VARCHAR, false FROM part WHERE p_size IS NOT NULL
+    UNION ALL SELECT 'part:' || p_partkey, 'p_retailprice', regexp_replace(p_retailprice::VARCHAR, '\.0$', ''), false FROM part WHERE p_retailprice IS NOT NULL
+    UNION ALL SELECT 'order:' || o_orderkey AS s, 'rdf:type' AS p, 'Order' AS o, false AS is_iri FROM orders
+    UNION ALL SELECT 'order:' || o_orderkey, 'o_orderkey', o_orderkey::VARCHAR, false FROM orders WHERE o_orderkey IS NOT NULL
+    UNION ALL SELECT 'order:' || o_orderkey, 'o_custkey', o_custkey::VARCHAR, false FROM orders WHERE o_custkey IS NOT NULL
+    UNION ALL SELECT 'order:' || o_orderkey, 'o_orderstatus', o_orderstatus, false FROM orders WHERE o_orderstatus IS NOT NULL
+    UNION ALL SELECT 'order:' || o_orderkey, 'o_totalprice', regexp_replace(o_totalprice::VARCHAR, '\.0$', ''), false FROM orders WHERE o_totalprice IS NOT NULL
+    UNION ALL SELECT 'order:' || o_orderkey, 'o_orderdate', strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), false FROM orders WHERE o_orderdate IS NOT NULL
+    UNION ALL SELECT 'order:' || o_orderkey, 'o_orderpriority', o_orderpriority, false FROM orders WHERE o_orderpriority IS NOT NULL
+    UNION ALL SELECT 'nation:' || n_nationkey, 'IN_REGION', 'region:' || n_regionkey, true FROM nation
+    UNION ALL SELECT 'customer:' || c_custkey, 'CUSTOMER_IN', 'nation:' || c_nationkey, true FROM customer
+    UNION ALL SELECT 'supplier:' || s_suppkey, 'SUPPLIER_IN', 'nation:' || s_nationkey, true FROM supplier
+    UNION ALL SELECT 'customer:' || o_custkey, 'PLACED', 'order:' || o_orderkey, true FROM orders
+    UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'CONTAINS', 'part:' || l_partkey, true FROM lineitem""")(lambda spark, d: star_graph(spark, d).triples().drop("n"))
 
 # SPARQL
 
@@ -64,8 +94,8 @@ sparql_query("sparql_optional_bound", "SELECT ?c WHERE { ?c a Customer . OPTIONA
              "SELECT 'customer:' || c_custkey AS c FROM customer JOIN orders ON o_custkey = c_custkey")
 sparql_query("sparql_union", "SELECT ?x ?n WHERE { { ?x SUPPLIER_IN ?n } UNION { ?x IN_REGION ?r } }",
              "SELECT 'supplier:' || s_suppkey AS x, 'nation:' || s_nationkey AS n FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, NULL FROM nation")
-sparql_query("sparql_minus", "SELECT ?c WHERE { ?c a Customer . MINUS { ?c PLACED ?o } }",
-             "SELECT 'customer:' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+sparql_query("sparql_minus", "SELECT ?c WHERE { ?c a Customer . MINUS { ?c PLACED ?o . ?o o_orderpriority \"1-URGENT\" . ?o o_orderstatus \"F\" } }",
+             "SELECT 'customer:' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND o_custkey IS NOT NULL)")
 sparql_query("sparql_values", "SELECT ?n ?name WHERE { VALUES ?n { <nation:3> <nation:7> <nation:99> } ?n n_name ?name }",
              "SELECT 'nation:' || n_nationkey AS n, n_name AS name FROM nation WHERE n_nationkey IN (3, 7, 99)")
 sparql_query("sparql_values_undef", "SELECT ?n ?r WHERE { VALUES (?n ?r) { (<nation:3> UNDEF) (UNDEF <region:1>) } ?n IN_REGION ?r }",
@@ -127,8 +157,8 @@ def gremlin_query(name: str, text: str, sql: str, columns: list[str] | None = No
 
 gremlin_query("gremlin_out_values", "g.V().hasLabel('Nation').out('IN_REGION').values('r_name')", "SELECT r_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
 gremlin_query("gremlin_in_dedup_count", "g.V().hasLabel('Nation').in('CUSTOMER_IN').out('PLACED').dedup().count()", "SELECT count(*) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
-gremlin_query("gremlin_both_order_limit", "g.V().hasLabel('Nation').has('n_name','FRANCE').both().order('c_acctbal','desc').limit(5)",
-              "WITH f AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_name = 'FRANCE'), x AS (SELECT 'customer:' || c_custkey AS id, c_acctbal AS v FROM customer JOIN f ON c_nationkey = k UNION ALL SELECT 'supplier:' || s_suppkey, NULL FROM supplier JOIN f ON s_nationkey = k UNION ALL SELECT 'region:' || r, NULL FROM f) SELECT id FROM x ORDER BY coalesce(v, 0) DESC, id LIMIT 5")
+gremlin_query("gremlin_both_order_limit", "g.V().hasLabel('Nation').has('n_name','NATION_7').both().order('c_acctbal','desc').limit(5)",
+              "WITH f AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_name = 'NATION_7'), x AS (SELECT 'customer:' || c_custkey AS id, c_acctbal AS v FROM customer JOIN f ON c_nationkey = k UNION ALL SELECT 'supplier:' || s_suppkey, NULL FROM supplier JOIN f ON s_nationkey = k UNION ALL SELECT 'region:' || r, NULL FROM f) SELECT id FROM x ORDER BY coalesce(v, 0) DESC, id LIMIT 5")
 gremlin_query("gremlin_edges", "g.V().hasLabel('Supplier').outE('SUPPLIER_IN')", "SELECT 'SUPPLIER_IN' AS label, 'supplier:' || s_suppkey AS src, 'nation:' || s_nationkey AS dst FROM supplier")
 add("gremlin_valuemap", "SELECT n_name AS name, n_regionkey::VARCHAR AS region, 3 AS n FROM nation")(lambda spark, d: gremlin.run(star_graph(spark, d), "g.V().hasLabel('Nation').valueMap()").select(F.col("value")["n_name"].alias("name"), F.col("value")["n_regionkey"].alias("region"), F.size("value").alias("n")))
 
@@ -167,7 +197,7 @@ def _(spark, d):
 
 # analytics
 
-_CO = "co AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS weight FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2)"
+_CO = "co AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS weight FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2)"
 _CP = "cp AS (SELECT o_custkey * 4 AS src, o_orderkey * 4 + 1 AS dst FROM orders UNION ALL SELECT c_custkey * 4, c_nationkey::BIGINT * 4 + 2 FROM customer)"
 _NB = "nb AS (SELECT src, dst FROM co UNION SELECT dst, src FROM co), dg AS (SELECT src AS v, count(*) AS k FROM nb GROUP BY 1)"
 
@@ -194,26 +224,18 @@ add("bfs_hops", f"""WITH RECURSIVE {_CP}, u AS MATERIALIZED (SELECT src AS a, ds
     SELECT id, min(h) AS hops FROM r GROUP BY id""")(lambda spark, d: graph.bfs(customer_parts(spark, d), 4))
 add("sssp_cost", f"""WITH RECURSIVE {_CO}, u AS MATERIALIZED (SELECT src AS a, dst AS b, weight AS w FROM co UNION ALL SELECT dst, src, weight FROM co),
     s AS (SELECT min(a) AS id FROM u), r(i, id, d) AS (SELECT 0, id, 0::BIGINT FROM s UNION ALL SELECT i, id, d FROM (WITH now AS (SELECT * FROM r) SELECT (SELECT max(i) + 1 FROM now) AS i, id, min(d)::BIGINT AS d FROM (SELECT id, d FROM now UNION ALL SELECT b, d + w FROM now JOIN u ON a = id) y GROUP BY id) x WHERE i <= 25)
-    SELECT id, d::DOUBLE AS distance FROM r WHERE i = 25""")(lambda spark, d: (lambda e: graph.sssp(e, e.agg(F.min("src")).first()[0]))(co_purchase(spark, d)))
+    SELECT id, d::DOUBLE AS distance FROM r WHERE i = 25""")(lambda spark, d: (lambda e: graph.sssp(e, e.agg(F.min("src")).first()[0]))(co_purchase(spark, d, 1)))
 add("cdlp_5", f"""WITH RECURSIVE {_CP}, u AS MATERIALIZED (SELECT src AS a, dst AS b FROM cp UNION ALL SELECT dst, src FROM cp),
     r(i, id, l) AS (SELECT 0, a, a FROM u GROUP BY a UNION ALL SELECT i, id, l FROM (WITH now AS (SELECT * FROM r), c AS (SELECT u.b AS id, l, count(*) AS n FROM now JOIN u ON u.a = now.id GROUP BY 1, 2)
         SELECT (SELECT max(i) + 1 FROM now) AS i, id, arg_min(l, (-n) * 1000000000::HUGEINT + l) AS l FROM c GROUP BY id) x WHERE i <= 5)
     SELECT id, l AS label FROM r WHERE i = 5""")(lambda spark, d: graph.cdlp(customer_parts(spark, d), 5))
 add("lcc", f"WITH {_CO}, {_NB}, t AS (SELECT x.src AS v, count(*) AS c FROM nb x JOIN nb y ON x.src = y.src AND x.dst < y.dst JOIN nb z ON z.src = x.dst AND z.dst = y.dst GROUP BY 1) SELECT dg.v AS id, round(CASE WHEN k >= 2 THEN 2.0 * coalesce(c, 0) / (k * (k - 1)) ELSE 0 END, 9) AS lcc FROM dg LEFT JOIN t ON t.v = dg.v")(
-    lambda spark, d: graph.lcc(co_purchase(spark, d)).select("id", F.round("lcc", 9).alias("lcc")))
+    lambda spark, d: graph.lcc(co_purchase(spark, d, 1)).select("id", F.round("lcc", 9).alias("lcc")))
 _LINK = {"common_neighbours": "c", "jaccard": "round(c::DOUBLE / (ka + kb - c), 9)", "adamic_adar": "round(aa, 9)", "resource_allocation": "round(ra, 9)", "preferential_attachment": "ka * kb"}
 for _name, _expr in _LINK.items():
-    add(f"link_{_name}", f"WITH {_CO}, {_NB}, w AS (SELECT x.src AS a, y.src AS b, count(*) AS c, sum(CASE WHEN k > 1 THEN 1 / ln(k::DOUBLE) ELSE 0 END) AS aa, sum(1.0::DOUBLE / k) AS ra FROM nb x JOIN nb y ON x.dst = y.dst AND x.src < y.src JOIN dg ON v = x.dst GROUP BY 1, 2), j AS (SELECT w.*, p.k AS ka, q.k AS kb FROM w JOIN dg p ON p.v = a JOIN dg q ON q.v = b) SELECT a, b, {_expr} AS {_name} FROM j")(
-        lambda spark, d, n=_name: graph.link_scores(co_purchase(spark, d)).select("a", "b", (F.round(n, 9) if n in ("jaccard", "adamic_adar", "resource_allocation") else F.col(n)).alias(n)))
-add("triangle_count", f"WITH {_CO}, {_NB} SELECT count(*) AS triangles FROM nb x JOIN nb y ON x.src < x.dst AND y.src = x.dst AND y.src < y.dst JOIN nb z ON z.src = x.src AND z.dst = y.dst")(lambda spark, d: graph.triangles(co_purchase(spark, d)).agg(F.count("*").alias("triangles")))
-# the same over all co-purchases; those above keep the pairs of two orders at least, as their SQL does
-_ALL = _CO.replace(" HAVING count(*) >= 2", "")
-for _name in ("sssp_cost", "lcc", "triangle_count"):
-    ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(_CO, _ALL)
-add("sssp_cost_whole")(lambda spark, d: (lambda e: graph.sssp(e, e.agg(F.min("src")).first()[0]))(co_purchase(spark, d, 1)))
-add("lcc_whole")(lambda spark, d: graph.lcc(co_purchase(spark, d, 1)).select("id", F.round("lcc", 9).alias("lcc")))
-add("triangle_count_whole")(lambda spark, d: graph.triangles(co_purchase(spark, d, 1)).agg(F.count("*").alias("triangles")))
-add("link_scores_whole")(lambda spark, d: graph.link_scores(co_purchase(spark, d, 1)))
+    add(f"link_{_name}", f"WITH {_CP}, {_NB.replace('FROM co', 'FROM cp')}, w AS (SELECT x.src AS a, y.src AS b, count(*) AS c, sum(CASE WHEN k > 1 THEN 1 / ln(k::DOUBLE) ELSE 0 END) AS aa, sum(1.0::DOUBLE / k) AS ra FROM nb x JOIN nb y ON x.dst = y.dst AND x.src < y.src JOIN dg ON v = x.dst GROUP BY 1, 2), j AS (SELECT w.*, p.k AS ka, q.k AS kb FROM w JOIN dg p ON p.v = a JOIN dg q ON q.v = b) SELECT a, b, {_expr} AS {_name} FROM j")(
+        lambda spark, d, n=_name: graph.link_scores(customer_parts(spark, d)).select("a", "b", (F.round(n, 9) if n in ("jaccard", "adamic_adar", "resource_allocation") else F.col(n)).alias(n)))
+add("triangle_count", f"WITH {_CO}, {_NB} SELECT count(*) AS triangles FROM nb x JOIN nb y ON x.src < x.dst AND y.src = x.dst AND y.src < y.dst JOIN nb z ON z.src = x.src AND z.dst = y.dst")(lambda spark, d: graph.triangles(co_purchase(spark, d, 1)).agg(F.count("*").alias("triangles")))
 add("betweenness")(lambda spark, d: graph.betweenness(co_purchase(spark, d, 1), directed=False))
 add("louvain")(lambda spark, d: graph.louvain(co_purchase(spark, d, 1)))
 add("fastrp")(lambda spark, d: graph.fast_rp(co_purchase(spark, d, 1), 32))
@@ -236,13 +258,34 @@ add("rrf_fuse", "WITH l AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY
 add("chunk_documents", "SELECT doc_id, i::INT AS chunk_index, substring(text, (i * 1300 + 1)::BIGINT, 1500) AS text FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 1500 THEN 1 ELSE ceil((length(text) - 1500) / 1300.0)::BIGINT + 1 END)) AS i FROM documents WHERE length(text) > 0)")(
     lambda spark, d: retrieval.chunk_documents(table(spark, d, "documents")))
 add("geodesic")(lambda spark, d: retrieval.geodesic_nearest(retrieval.manifold(table(spark, d, "embeddings"), 5), 0, 20))
-add("explore_from")(lambda spark, d: retrieval.explore_from(co_purchase(spark, d, 1), [1, 2], 10, 10))
+_SEEDED = _pr_sql("SELECT id, CASE WHEN id IN (4, 8) THEN 1.0 ELSE 0.0 END::DOUBLE AS w FROM ids").replace("SELECT id, round(rank, 9) AS rank FROM r WHERE i = 10", "")
+add("explore_from", f"""{_SEEDED}, c AS (SELECT id, round(rank, 12) AS s FROM r WHERE i = 10 AND id NOT IN (4, 8) AND round(rank, 12) > 0), e AS (SELECT DISTINCT src, dst FROM cp), a AS (SELECT dst AS id FROM e WHERE src IN (4, 8) UNION ALL SELECT src FROM e WHERE dst IN (4, 8)),
+    n AS (SELECT c.id, c.s, count(a.id) AS k FROM c LEFT JOIN a ON a.id = c.id GROUP BY 1, 2), f AS (SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY s DESC, id)) + 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY k DESC, id)) AS score FROM n) SELECT id, round(score, 9) AS score FROM f ORDER BY f.score DESC, id LIMIT 10""")(
+    lambda spark, d: retrieval.explore_from(customer_parts(spark, d), [4, 8], 10, 10).select("id", F.round("score", 9).alias("score")))
 
 # knowledge
 
 add("profile_class", "SELECT kind, key, round(coverage, 6) AS coverage, count, distinct_values FROM (VALUES ('property', 's_suppkey'), ('property', 's_name'), ('property', 's_nationkey'), ('property', 's_acctbal'), ('out', 'SUPPLIER_IN')) k(kind, key), LATERAL (SELECT CASE key WHEN 's_suppkey' THEN count(s_suppkey) WHEN 's_name' THEN count(s_name) WHEN 's_acctbal' THEN count(s_acctbal) ELSE count(s_nationkey) END AS count, CASE key WHEN 's_suppkey' THEN count(DISTINCT s_suppkey) WHEN 's_name' THEN count(DISTINCT s_name) WHEN 's_acctbal' THEN count(DISTINCT s_acctbal) ELSE count(DISTINCT s_nationkey) END AS distinct_values, count / count(*)::DOUBLE AS coverage FROM supplier)")(
     lambda spark, d: knowledge.profile_class(star_graph(spark, d), "Supplier").select("kind", "key", F.round("coverage", 6).alias("coverage"), "count", "distinct_values"))
-add("recommend_attributes")(lambda spark, d: knowledge.recommend_attributes(star_graph(spark, d), "Supplier", 0.0))
+
+
+def party_graph(spark, d):
+    """Customers and suppliers with like property names; both are in nations, customers place orders."""
+    def party(name, k):
+        t = table(spark, d, name)
+        return t.select(F.concat(F.lit(f"{name}:"), f"{k}_{name[:4]}key").alias("id"), *[F.col(f"{k}_{c}").alias(c) for c in ("name", "nationkey", "acctbal", "mktsegment") if f"{k}_{c}" in t.columns])
+
+    place = [EdgeTable("LOCATED_IN", party(n, k).select(F.col("id").alias("src"), F.concat(F.lit("nation:"), "nationkey").alias("dst"))) for n, k in (("customer", "c"), ("supplier", "s"))]
+    placed = EdgeTable("PLACED", table(spark, d, "orders").select(F.concat(F.lit("customer:"), "o_custkey").alias("src"), F.concat(F.lit("order:"), "o_orderkey").alias("dst")))
+    nation = NodeTable(table(spark, d, "nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("id"), F.col("n_name").alias("name")), ("Nation",))
+    return Graph(spark, [NodeTable(party("customer", "c"), ("Customer",)), NodeTable(party("supplier", "s"), ("Supplier",)), nation], [*place, placed])
+
+
+add("recommend_attributes", """WITH n AS (SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) AS peers), k AS (
+    SELECT 'property' AS kind, 'mktsegment' AS key, count(c_mktsegment) AS p FROM customer UNION ALL SELECT 'out', 'PLACED', count(DISTINCT o_custkey) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'in', 'LOCATED_IN', count(DISTINCT x) FROM (SELECT c_nationkey AS x FROM customer UNION SELECT s_nationkey FROM supplier) WHERE x IN (SELECT n_nationkey FROM nation))
+    SELECT kind, key, round(p / peers, 9) AS peer_coverage, 0.0::DOUBLE AS own_coverage, round(p / peers, 9) AS score FROM k, n WHERE p > 0""")(
+    lambda spark, d: knowledge.recommend_attributes(party_graph(spark, d), "Supplier", 0.0).select("kind", "key", *[F.round(c, 9).alias(c) for c in ("peer_coverage", "own_coverage", "score")]))
 _SHAPES = [{"name": "CustomerShape", "target": "Customer", "properties": [{"path": "PLACED", "min_count": 1, "max_count": 15}, {"path": "c_acctbal", "min_inclusive": 0}, {"path": "c_mktsegment", "pattern": "^[A-L]"}]}]
 add("shacl_validate", """WITH c AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
     SELECT 'customer:' || c_custkey AS focus, 'PLACED' AS path, 'min_count' AS "constraint", 'CustomerShape' AS shape FROM c WHERE n < 1 UNION ALL SELECT 'customer:' || c_custkey, 'PLACED', 'max_count', 'CustomerShape' FROM c WHERE n > 15
@@ -259,19 +302,30 @@ def beliefs(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BEL = "n AS (SELECT 'nation:' || c_nationkey AS src, c_mktsegment AS dst, count(*) AS n FROM customer GROUP BY 1, 2 UNION ALL SELECT c_mktsegment, o_orderpriority, count(*) FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2), be AS (SELECT src, dst, 1 - 1 / (n + 1.0::DOUBLE) AS s, n / (n + 2.0::DOUBLE) AS c FROM n)"
-add("pln_deduction", f"WITH {_BEL}, p AS (SELECT a.src, b.dst, a.s * b.s AS s, 0.9 * a.c * b.c AS c FROM be a JOIN be b ON a.dst = b.src WHERE a.s * b.s >= 0.3) SELECT src, dst, round(arg_max(s, c), 9) AS strength, round(max(c), 9) AS confidence FROM p WHERE (src, dst) NOT IN (SELECT (src, dst) FROM be) GROUP BY 1, 2")(
-    lambda spark, d: knowledge.deduce(beliefs(spark, d)).select("src", "dst", F.round("strength", 9).alias("strength"), F.round("confidence", 9).alias("confidence")))
-add("pln_abduction", f"WITH {_BEL} SELECT x.src AS a, y.src AS b, count(*) AS shared, round(avg(x.s * y.s), 9) AS strength FROM be x JOIN be y ON x.dst = y.dst AND x.src < y.src GROUP BY 1, 2 HAVING count(*) >= 3 AND avg(x.s * y.s) >= 0.55")(
-    lambda spark, d: knowledge.abduce(beliefs(spark, d)).select("a", "b", "shared", F.round("strength", 9).alias("strength")))
-add("pln_revision", "SELECT 'user' AS src, event_type AS dst, round(sum(value * 0.5) / sum(0.5), 6) AS strength, least(0.99, round(1 - exp(sum(ln(0.5))), 6))::DOUBLE AS confidence FROM events WHERE value IS NOT NULL GROUP BY 2")(
-    lambda spark, d: knowledge.revise(table(spark, d, "events").filter("value is not null").select(F.lit("user").alias("src"), F.col("event_type").alias("dst"), F.col("value").alias("strength"), F.lit(0.5).alias("confidence"))).select("src", "dst", F.round("strength", 6).alias("strength"), F.round("confidence", 6).alias("confidence")))
+def _tidy(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.round("strength", 9).alias("strength"), F.round("confidence", 9).alias("confidence"))
+
+
+add("pln_deduction", f"WITH {_BEL}, p AS (SELECT a.src, b.dst, a.s * b.s AS s, 0.9 * a.c * b.c AS c FROM be a JOIN be b ON a.dst = b.src WHERE a.s * b.s >= 0.3 AND a.src <> b.dst), m AS (SELECT src, dst, max(s) AS s, arg_max(c, s) AS c FROM p GROUP BY 1, 2) SELECT m.src, m.dst, round(m.s, 9) AS strength, round(m.c, 9) AS confidence FROM m LEFT JOIN be ON be.src = m.src AND be.dst = m.dst WHERE be.s IS NULL OR m.s > be.s")(
+    lambda spark, d: _tidy(knowledge.deduce(beliefs(spark, d)), "src", "dst"))
+add("pln_abduction", f"WITH {_BEL}, p AS (SELECT x.src AS a, y.src AS b, count(*) AS shared, least(min(x.s), min(y.s)) AS s, least(min(x.c), min(y.c)) AS c FROM be x JOIN be y ON x.dst = y.dst AND x.src < y.src WHERE x.s >= 0.55 AND y.s >= 0.55 GROUP BY 1, 2) SELECT a, b, shared, round(s * s * 0.4, 9) AS strength, round(c * c * 0.4, 9) AS confidence FROM p WHERE shared >= 3 AND s * s * 0.4 >= 0.3 AND NOT EXISTS (SELECT 1 FROM be WHERE (src = a AND dst = b) OR (src = b AND dst = a))")(
+    lambda spark, d: _tidy(knowledge.abduce(beliefs(spark, d)), "a", "b", "shared"))
+add("pln_revision", """WITH e AS (SELECT 'user:' || user_id AS src, event_type AS dst, (event_id % 97) / 96.0::DOUBLE AS s, (event_id % 89) / 100.0::DOUBLE AS c FROM events),
+    g AS (SELECT src, dst, count(*) AS n, max({'s': s, 'c': c}) AS b, sum(s * c) / nullif(sum(c), 0) AS rs, least(0.99, 1 - exp(sum(ln(1 - c)))) AS rc FROM e GROUP BY 1, 2),
+    h AS (SELECT *, n > 1 AND (coalesce(rs, b.s) > b.s * 1.05 OR rc > b.c * 1.05) AS better FROM g)
+    SELECT src, dst, round(CASE WHEN better THEN least(1, coalesce(rs, b.s)) ELSE b.s END, 6) AS strength, round(CASE WHEN better THEN rc ELSE b.c END, 6) AS confidence FROM h""")(
+    lambda spark, d: knowledge.revise(table(spark, d, "events").select(F.concat(F.lit("user:"), "user_id").alias("src"), F.col("event_type").alias("dst"), (F.col("event_id") % 97 / 96).alias("strength"), (F.col("event_id") % 89 / 100).alias("confidence"))).select("src", "dst", F.round("strength", 6).alias("strength"), F.round("confidence", 6).alias("confidence")))
+add("pln_forward_chain", f"""WITH RECURSIVE {_BEL}, l AS (SELECT src, dst, s, c, [src, dst] AS path FROM be UNION ALL SELECT l.src, be.dst, l.s * be.s, 0.9 * l.c * be.c, list_append(path, be.dst) FROM l JOIN be ON be.src = l.dst WHERE l.s * be.s >= 0.3 AND NOT list_contains(path, be.dst)),
+    m AS (SELECT src, dst, max(s) AS s, arg_max(c, s) AS c FROM l GROUP BY 1, 2), x AS (SELECT p.src AS a, q.src AS b, count(*) AS shared, least(min(p.s), min(q.s)) AS s, least(min(p.c), min(q.c)) AS c FROM m p JOIN m q ON p.dst = q.dst AND p.src < q.src WHERE p.s >= 0.55 AND q.s >= 0.55 GROUP BY 1, 2)
+    SELECT src, dst, round(s, 9) AS strength, round(c, 9) AS confidence FROM m UNION ALL SELECT a, b, round(s * s * 0.4, 9), round(c * c * 0.4, 9) FROM x WHERE shared >= 3 AND s * s * 0.4 >= 0.3 AND NOT EXISTS (SELECT 1 FROM m WHERE (src = a AND dst = b) OR (src = b AND dst = a))""")(
+    lambda spark, d: _tidy(knowledge.forward_chain(beliefs(spark, d)), "src", "dst"))
 
 
 def _attention(spark, d):
-    return table(spark, d, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"), F.least(F.lit(1000.0), F.abs("c_acctbal")).alias("sti"), F.lit(0.0).alias("lti"), (F.col("c_custkey") % 5 == 0).alias("vlti"))
+    return table(spark, d, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"), F.least(F.lit(1000.0), F.col("c_acctbal")).alias("sti"), F.lit(0.0).alias("lti"), (F.col("c_custkey") % 5 == 0).alias("vlti"))
 
 
-add("ecan_decay", "SELECT 'customer:' || c_custkey AS id, round(CASE WHEN c_custkey % 5 = 0 THEN greatest(100.0, least(1000.0, abs(c_acctbal)) * 0.85) ELSE least(1000.0, abs(c_acctbal)) * 0.85 END, 6) AS sti FROM customer")(
+add("ecan_decay", "WITH a AS (SELECT c_custkey, least(1000.0, c_acctbal) AS s FROM customer) SELECT 'customer:' || c_custkey AS id, round(CASE WHEN s <= 0 THEN s WHEN c_custkey % 5 = 0 THEN greatest(100.0, s * 0.85) ELSE s * 0.85 END, 6)::DOUBLE AS sti FROM a")(
     lambda spark, d: knowledge.decay_attention(_attention(spark, d)).select("id", F.round("sti", 6).alias("sti")))
 
 
@@ -279,14 +333,24 @@ def _spread(spark, d):
     return knowledge.spread_attention(_attention(spark, d).unionByName(table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.lit(0.0).alias("sti"), F.lit(0.0).alias("lti"), F.lit(False).alias("vlti"))), star_graph(spark, d).edges("PLACED"))
 
 
-add("ecan_spread", "WITH e AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY 'order:' || o_orderkey) AS r FROM orders QUALIFY r <= 12), f AS (SELECT o_custkey, count(*) AS k FROM e GROUP BY 1), g AS (SELECT e.o_orderkey AS k, sum(least(1000.0, abs(c_acctbal)) * 0.65 * 0.4 / f.k) AS got FROM e JOIN f USING (o_custkey) JOIN customer ON c_custkey = e.o_custkey GROUP BY 1) SELECT 'order:' || o_orderkey AS id, round(least(1000.0, coalesce(got, 0)), 6)::DOUBLE AS sti FROM orders LEFT JOIN g ON k = o_orderkey")(
-    lambda spark, d: _spread(spark, d).filter("id like 'order:%'").select("id", F.round("sti", 6).alias("sti")))
-_SPREAD = ORACLES["ecan_spread"]
-add("ecan_spread_whole", f"{_SPREAD} UNION ALL SELECT 'customer:' || c_custkey, round(least(1000.0, abs(c_acctbal)), 6)::DOUBLE FROM customer")(lambda spark, d: _spread(spark, d).select("id", F.round("sti", 6).alias("sti")))
+add("ecan_spread", "WITH a AS (SELECT c_custkey, least(1000.0, c_acctbal) AS s FROM customer), e AS (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY 'order:' || o_orderkey) <= 12), g AS (SELECT o_orderkey AS k, sum(s * 0.65 * 0.4) AS got FROM e JOIN a ON c_custkey = o_custkey WHERE s >= 20 GROUP BY 1) SELECT 'order:' || o_orderkey AS id, round(least(1000.0, coalesce(got, 0)), 6)::DOUBLE AS sti FROM orders LEFT JOIN g ON k = o_orderkey UNION ALL SELECT 'customer:' || c_custkey, round(s, 6)::DOUBLE FROM a")(
+    lambda spark, d: _spread(spark, d).select("id", F.round("sti", 6).alias("sti")))
 add("confidence_decay", "SELECT o_orderkey AS id, round(CASE WHEN o_orderkey % 40 > 14 THEN greatest(0.1, 0.9 * pow(0.85, o_orderkey % 40 - 14)) ELSE 0.9 END, 9)::DOUBLE AS confidence FROM orders")(
     lambda spark, d: knowledge.decay_confidence(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 40).alias("age"), F.lit(0.9).alias("confidence")), "age").select("id", F.round("confidence", 9).alias("confidence")))
-add("admit_claims", "SELECT l.doc_id, CASE WHEN n_chars % 10 < 2 THEN 'relevance' WHEN l.doc_id % 4 >= 2 AND toxic = 0 THEN 'hearsay' WHEN 0.15 * CASE WHEN quality = 0 THEN 0.5 ELSE 1 END < 0.1 THEN 'credibility' WHEN lang = 'fr' THEN 'privilege' ELSE 'admitted' END AS reason FROM labels l JOIN documents d ON l.doc_id = d.doc_id")(
-    lambda spark, d: knowledge.admit(table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("doc_id", (F.col("n_chars") % 10 / 10).alias("relevance"), (F.col("doc_id") % 4).alias("hearsay_depth"), (F.col("toxic") != 0).alias("exception"), (F.col("quality") == 0).alias("opinion"), F.lit(0.15).alias("credibility"), F.array("lang").alias("privileges")), ["en", "de", "es"]).select("doc_id", "reason"))
+_CLAIMS = "SELECT l.doc_id, CASE WHEN l.doc_id % 7 <> 0 THEN (n_chars % 10) / 10.0::DOUBLE END AS relevance, CASE WHEN l.doc_id % 11 <> 0 THEN l.doc_id % 5 END AS chain_depth, lang = 'de' AS signed_connector, CASE WHEN toxic <> 0 THEN 'attested' WHEN quality = 0 THEN 'model-generated' ELSE 'extracted' END AS source_kind, CASE WHEN l.doc_id % 3 <> 0 THEN (l.doc_id % 20) / 40.0::DOUBLE END AS source_trust, [lang] AS visibility_scope FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
+
+
+def claims_of(spark, d):
+    t = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
+    i = F.col("doc_id")
+    return t.select("doc_id", F.when(i % 7 != 0, F.col("n_chars") % 10 / 10).alias("relevance"), F.when(i % 11 != 0, i % 5).alias("chain_depth"), (F.col("lang") == "de").alias("signed_connector"), F.when(F.col("toxic") != 0, "attested").when(F.col("quality") == 0, "model-generated").otherwise("extracted").alias("source_kind"), F.when(i % 3 != 0, i % 20 / 40).alias("source_trust"), F.array("lang").alias("visibility_scope"))
+
+
+# the rules: relevance < .2 unless unscored; depth > 2 without a signed connector or an attested source; raw trust < .1 unless unmeasured; scopes held
+_GATE = "CASE WHEN relevance < 0.2 THEN 'relevance' WHEN coalesce(chain_depth, 0) > 2 AND NOT signed_connector AND source_kind <> 'attested' THEN 'hearsay' {0} WHEN source_trust < 0.1 THEN 'credibility' WHEN NOT list_has_all(['en', 'de', 'es'], visibility_scope) THEN 'privilege' END"
+for _name, _opinion, _sql in (("admit_claims", True, ""), ("admit_claims_no_opinion", False, "WHEN source_kind = 'model-generated' THEN 'opinion'")):
+    add(_name, f"WITH c AS ({_CLAIMS}), g AS (SELECT *, {_GATE.format(_sql)} AS excluded_at FROM c) SELECT doc_id, excluded_at IS NULL AS admitted, excluded_at, CASE WHEN excluded_at IS NOT NULL THEN 0.0 WHEN source_kind = 'model-generated' THEN 0.5 ELSE 1.0 END::DOUBLE AS weight, CASE WHEN coalesce(chain_depth, 0) > 2 AND coalesce(excluded_at NOT IN ('relevance', 'hearsay'), true) THEN CASE WHEN signed_connector THEN 'business-record' WHEN source_kind = 'attested' THEN 'admission' END END AS exception FROM g")(
+        lambda spark, d, o=_opinion: knowledge.admit(claims_of(spark, d), ["en", "de", "es"], allow_opinion=o).select("doc_id", "admitted", "excluded_at", "weight", "exception"))
 add("codex_manifest", "WITH p AS (SELECT p_partkey, p_name, list_transform(list_filter(string_split(lower(p_name), ''), lambda x: x >= 'a' AND x <= 'z'), lambda x: ascii(x) - 96) AS c FROM part) SELECT p_partkey, list_sum(c)::INT AS gematria, list_sum(list_transform(c, lambda x, i: x * i))::INT AS sequence, len(c)::INT AS letters, sha256(p_name)[1:16] AS digest FROM p")(
     lambda spark, d: table(spark, d, "part").select("p_partkey", knowledge.manifest(F.col("p_name")).alias("m")).select("p_partkey", "m.gematria", "m.sequence", F.col("m.structure")[0].alias("letters"), "m.digest"))
 
@@ -316,18 +380,35 @@ def _incident(spark, d):
     return kernel.incident_links(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.array(F.struct(F.lit("part").alias("role"), F.concat(F.lit("part:"), "l_partkey").alias("target")), F.struct(F.lit("supplier").alias("role"), F.concat(F.lit("supplier:"), "l_suppkey").alias("target"))).alias("members")))
 
 
-add("incident_links", "SELECT 'part:' || l_partkey AS member, count(*) AS links FROM lineitem GROUP BY 1")(
-    lambda spark, d: _incident(spark, d).filter("role = 'part'").groupBy("member").agg(F.count("*").alias("links")))
-add("incident_links_whole", "SELECT 'part:' || l_partkey AS member, 'part' AS role, count(*) AS links FROM lineitem GROUP BY 1 UNION ALL SELECT 'supplier:' || l_suppkey, 'supplier', count(*) FROM lineitem GROUP BY 1")(
+add("incident_links", "SELECT 'part:' || l_partkey AS member, 'part' AS role, count(*) AS links FROM lineitem GROUP BY 1 UNION ALL SELECT 'supplier:' || l_suppkey, 'supplier', count(*) FROM lineitem GROUP BY 1")(
     lambda spark, d: _incident(spark, d).groupBy("member", "role").agg(F.count("*").alias("links")))
 add("bounded_state_proof", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 < 1 THEN 'inconclusive' WHEN o_totalprice / 300000 > 1 OR (o_orderkey % 10) / 50.0 > 0.1 THEN 'violated' WHEN o_orderkey % 5 < 3 THEN 'inconclusive' ELSE 'proved' END AS verdict FROM orders")(
     lambda spark, d: kernel.check_bounded(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.col("o_totalprice") / 300000, F.lit(0.5)).alias("field"), (F.col("o_orderkey") % 5).alias("evidence"), (F.col("o_orderkey") % 10 / 50).alias("epsilon"))).select("id", "verdict"))
-add("glue_verdict", "WITH c AS (SELECT c_nationkey AS doc, c_mktsegment AS var, count(*) AS v FROM customer GROUP BY 1, 2), p AS (SELECT a.doc AS l, b.doc AS r, a.var, abs(a.v - b.v) <= 10 AS ok FROM c a JOIN c b ON a.var = b.var AND a.doc < b.doc) SELECT l AS \"left\", r AS \"right\", CASE WHEN bool_and(ok) THEN 'POS' ELSE 'NEG' END AS verdict, coalesce(min(var) FILTER (WHERE NOT ok), max(var)) AS witness FROM p GROUP BY 1, 2")(
-    lambda spark, d: kernel.glue(table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("doc"), F.col("c_mktsegment").alias("var")).agg(F.count("*").alias("value")).withColumn("grade", F.lit(1)), 10.0))
+
+@add("glue_verdict", """WITH k AS (SELECT c_nationkey AS doc, c_mktsegment AS var, count(*) AS v, CASE WHEN min(c_custkey) % 6 = 0 THEN -1 ELSE 1 END AS g FROM customer GROUP BY 1, 2),
+    e AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey),
+    p AS (SELECT src, dst, a.var, least(a.g, b.g) < 0 AS low, abs(a.v - b.v) > 12 AS apart FROM e JOIN k a ON a.doc = src JOIN k b ON b.doc = dst AND b.var = a.var),
+    s AS (SELECT src, dst, arg_min(low, var) FILTER (WHERE low OR apart) AS low, min(var) FILTER (WHERE low OR apart) AS stop, max(var) AS last FROM p GROUP BY 1, 2)
+    SELECT e.src, e.dst, CASE WHEN last IS NULL OR low THEN 'ZERO' WHEN stop IS NULL THEN 'POS' ELSE 'NEG' END AS verdict, CASE WHEN last IS NOT NULL AND NOT coalesce(low, false) THEN coalesce(stop, last) END AS witness,
+           EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = e.src) AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = e.dst) AS doubly_grounded
+    FROM e LEFT JOIN s ON s.src = e.src AND s.dst = e.dst""")
+def _(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    pairs = n.withColumnRenamed("n_nationkey", "src").join(n.withColumnRenamed("n_nationkey", "dst"), "n_regionkey").filter("src < dst")
+    k = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("doc"), F.col("c_mktsegment").alias("var")).agg(F.count("*").alias("value"), F.when(F.min("c_custkey") % 6 == 0, -1).otherwise(1).alias("grade"))
+    return kernel.glue(pairs, k, 12.0, 0, table(spark, d, "supplier").select(F.col("s_nationkey").alias("id")))
+
+
 add("scan_edges_cursor", "SELECT 'order:' || lpad(o_orderkey::VARCHAR, 12, '0') AS id FROM orders WHERE id > 'order:000000000100' AND o_orderstatus = 'F' ORDER BY id LIMIT 100")(
     lambda spark, d: kernel.scan_edges(table(spark, d, "orders").select(F.concat(F.lit("order:"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("id"), F.col("o_orderstatus").alias("relation")), "order:000000000100", 100, "F").select("id"))
-add("resolve_same_as", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey - 1 AS b FROM part WHERE p_partkey % 5 <> 0 UNION SELECT p_partkey - 1, p_partkey FROM part WHERE p_partkey % 5 <> 0), r(id, pos, h) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT id, b, h + 1 FROM r JOIN e ON a = pos WHERE h < 3) SELECT id, min(pos) AS canonical FROM r GROUP BY id")(
-    lambda spark, d: (lambda p: kernel.resolve_same_as(p.filter("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - 1).alias("dst")), p.select(F.col("p_partkey").alias("id"))))(table(spark, d, "part")))
+
+@add("resolve_same_as", "SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size ORDER BY p_partkey ROWS 3 PRECEDING) AS canonical FROM part")
+def _(spark, d):
+    p = table(spark, d, "part")
+    after = F.lead("p_partkey").over(Window.partitionBy("p_brand", "p_type", "p_size").orderBy("p_partkey"))
+    return kernel.resolve_same_as(p.select(F.col("p_partkey").alias("src"), after.alias("dst")).filter("dst is not null"), p.select(F.col("p_partkey").alias("id")))
+
+
 add("cut_join", "SELECT user_id AS writer, max(event_id) AS seq FROM events GROUP BY 1")(
     lambda spark, d: (lambda e: kernel.cut_join(e.filter("event_type = 'view'"), e.filter("event_type <> 'view'")).select("writer", "seq"))(table(spark, d, "events").select(F.col("user_id").alias("writer"), F.col("event_id").alias("seq"), "event_type")))
 
@@ -335,8 +416,26 @@ add("cut_join", "SELECT user_id AS writer, max(event_id) AS seq FROM events GROU
 
 add("conversation_graph", "SELECT 'message:' || conv_id || ':' || turn AS src, 'message:' || conv_id || ':' || nxt AS dst FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL")(lambda spark, d: conversation_graph(spark, d).edges("NEXT").select("src", "dst"))
 add("document_chunks_graph", "SELECT 'doc:' || doc_id AS src, count(*) AS chunks FROM (SELECT doc_id, unnest(range(0, CASE WHEN length(text) <= 1500 THEN 1 ELSE ceil((length(text) - 1500) / 1300.0)::BIGINT + 1 END)) AS i FROM documents WHERE length(text) > 0) GROUP BY 1")(lambda spark, d: document_graph(spark, d).edges("HAS_CHUNK").groupBy("src").agg(F.count("*").alias("chunks")))
-add("entity_extract")(lambda spark, d: entities.extract(table(spark, d, "documents")))
-add("entity_co_occurrence")(lambda spark, d: entities.co_occurrence(entities.extract(table(spark, d, "documents"))))
+# (pattern as an SQL string, group, confidence, least and most characters); DuckDB's \b is ASCII
+_MENTIONS = [
+    (""" '"[^"]{2,80}"|''[^'']{2,80}''' """, 0, 0.9, 0, 82), ("'`([^`]{2,60})`'", 1, 0.85, 0, 60), (r""" '(?m)(?:^|\s)((?:[~.]/|/)[^\s,;:''"(){}\[\]]{3,80})' """, 1, 0.8, 0, 90),
+    (r"'\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b'", 1, 0.75, 0, 60), (r"'\b([a-z][a-z0-9]*(?:[_-][a-z][a-z0-9]+){1,8})\b'", 1, 0.7, 6, 60), (r"'\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){1,4})\b'", 1, 0.65, 0, 80),
+]
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, {k} AS r, unnest(x) AS m, generate_subscripts(x, 1) AS i, {c}::DOUBLE AS confidence FROM (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), {p}, {g}), lambda y: length(y) BETWEEN {lo} AND {hi}) AS x FROM documents)" for k, (p, g, c, lo, hi) in enumerate(_MENTIONS))
+_TOPIC = " ".join(f"|| CASE WHEN list_has_any(w, {v.split()}) THEN ['{k}'] ELSE [] END" for k, v in sorted(entities.TOPICS.items()))
+_ENT = f"""f AS ({_FOUND}), u AS (SELECT doc_id, r, i, confidence, regexp_replace(CASE WHEN r = 0 THEN m[2:-2] ELSE m END, '^\\s+|\\s+$', '', 'g') AS surface FROM f), n AS (SELECT *, regexp_replace(lower(surface), '\\s+', ' ', 'g') AS entity FROM u),
+    o AS (SELECT * FROM n WHERE length(entity) >= 3 QUALIFY row_number() OVER (PARTITION BY doc_id, entity ORDER BY r, i) = 1),
+    t AS (SELECT *, regexp_split_to_array(lower(surface), '[\\s\\-_./\\\\()\\[\\]{{}},;:''"!?<>@#$%^&*+=|~`]+') AS w FROM o),
+    z AS (SELECT *, [] {_TOPIC} AS topic FROM t),
+    ent AS (SELECT doc_id AS id, entity, surface, CASE WHEN regexp_matches(surface, '^[~/.]|\\.(ts|js|py|rs|go|json|yaml|md|sh|txt)$|^https?://') THEN 'RECORD' WHEN regexp_matches(surface, '^[A-Z][a-z]+ [A-Z][a-z]+$') THEN 'PERSON'
+        WHEN regexp_matches(surface, '(?i)(engineer|researcher|developer|manager|analyst|scientist|architect|founder|cto|ceo|vp|director)$') THEN 'ROLE' WHEN regexp_matches(surface, '(?i)(inc\\.?|llc\\.?|corp\\.?|ltd\\.?|company|organization|foundation)$') THEN 'ORG' ELSE 'FEATURE_ATOM' END AS kind,
+        CASE WHEN len(topic) = 0 THEN ['CITIZEN'] ELSE topic END AS topics, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY r, i) AS place, 'urn:regis:feature-atom:' || substring(regexp_replace(entity, '[^a-z0-9]', '-', 'g'), 1, 80) AS atom FROM z)"""
+add("entity_extract", f"WITH {_ENT} SELECT id, entity, surface, kind, array_to_string(topics, ',') AS topics, confidence, place FROM ent")(lambda spark, d: entities.extract(table(spark, d, "documents")).withColumn("topics", F.array_join("topics", ",")))
+add("entity_atoms", f"WITH {_ENT}, k AS (SELECT atom, arg_max({{'e': entity, 'k': kind, 'c': confidence}}, {{'i': id, 'p': place}}) AS l, count(*) AS mentions FROM ent GROUP BY 1), s AS (SELECT atom, string_agg(DISTINCT x, ',' ORDER BY x) AS topics FROM (SELECT atom, unnest(topics) AS x FROM ent) GROUP BY 1) SELECT atom AS id, l.e AS entity, l.k AS kind, l.c AS confidence, topics, mentions FROM k JOIN s USING (atom)")(
+    lambda spark, d: entities.atoms(entities.extract(table(spark, d, "documents"))).withColumn("topics", F.array_join("topics", ",")))
+add("entity_mentioned_in", f"WITH {_ENT} SELECT atom AS src, id AS dst, arg_max(confidence, place) AS confidence FROM ent GROUP BY 1, 2")(lambda spark, d: entities.mentioned_in(entities.extract(table(spark, d, "documents"))))
+add("entity_co_occurrence", f"WITH {_ENT}, q AS (SELECT DISTINCT a.id, a.atom AS src, b.atom AS dst FROM ent a JOIN ent b ON a.id = b.id AND a.place < b.place WHERE b.place <= 20) SELECT src, dst, count(*) AS n FROM q GROUP BY 1, 2")(
+    lambda spark, d: entities.co_occurrence(entities.extract(table(spark, d, "documents"))))
 add("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(lambda spark, d: log.window_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4)))
 add("graph_health", "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) AS nodes, (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) AS edges, 0 AS dangling_edges")(
     lambda spark, d: star_graph(spark, d).health().select("nodes", "edges", "dangling_edges"))

@@ -54,6 +54,12 @@ def _at_end() -> None:
 atexit.register(_at_end)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that :func:`cut` wrote and nothing reads any more."""
+    for path in df.inputFiles()[:1]:
+        drop(path.rsplit("/", 1)[0], df.sparkSession)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written to the shared folder and read again, so a lost executor costs nothing that was done.
 
