@@ -136,7 +136,7 @@ def node_features(t: Tree, hide: bool = False) -> np.ndarray:
         raw = x.encode("utf-8", "replace")
         digits[i] += len(raw) - len(raw.translate(None, _DIGITS))
     link = np.where(tag == _TAG_ID["a"], 1, 0)
-    inside = _covered(np.flatnonzero(link), end, n)
+    inside = _covered(np.flatnonzero(link), end, n) if link.any() else np.zeros(n, bool)
 
     def subtree(v: np.ndarray) -> np.ndarray:
         c = np.concatenate([[0], np.cumsum(v)])
@@ -164,8 +164,12 @@ def node_features(t: Tree, hide: bool = False) -> np.ndarray:
         named = [(i, crc32(x.encode()) % _HASHED) for i, names in enumerate(t.names) for x in names]
         node, k = np.array(named, np.int64).reshape(-1, 2).T
         out[node, base + k] = 1
-        for j in np.unique(k):
-            out[:, base + _HASHED + j] = _covered(node[k == j], end, n)
+        if (end[node] - node).sum() <= 50 * n:
+            for i, j in zip(node.tolist(), k.tolist(), strict=True):
+                out[i : end[i], base + _HASHED + j] = 1
+        else:  # deep nesting
+            for j in np.unique(k):
+                out[:, base + _HASHED + j] = _covered(node[k == j], end, n)
     return out
 
 
