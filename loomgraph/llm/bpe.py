@@ -20,7 +20,9 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Longer pre-tokens are merged with a heap, in n log n rather than n * n.
 LONG = 256
 #: Distinct pre-tokens that a worker remembers.
-CACHE = 1_000_000
+CACHE = 300_000
+#: Bytes of text whose pre-tokens are looked up at once; a longer single text is handled alone.
+PART = 2 << 20
 
 
 class Bpe:
@@ -177,8 +179,16 @@ class Bpe:
     def encode_rows(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of rows of text, one after another, and the bounds of each row (one more than rows).
 
-        Each distinct pre-token of the batch, told apart by a 64-bit hash and its length, is merged once.
+        Each distinct pre-token of a part of the rows, told apart by a 64-bit hash and its length, is merged once.
         """
+        parts = list(textvec.chunks(offsets, PART))
+        if len(parts) < 2:
+            return self._encode_part(buf, offsets)
+        ids, bounds = zip(*(self._encode_part(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in parts), strict=True)
+        base = np.cumsum([0] + [len(x) for x in ids])
+        return np.concatenate(ids), np.concatenate([x[: None if i == len(parts) - 1 else -1] + base[i] for i, x in enumerate(bounds)])
+
+    def _encode_part(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = []
         for a, b in textvec.chunks(offsets):
             o = offsets[a : b + 1] - offsets[a]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph import session
 
 #: Bytes of one Arrow batch sent to Python, so that very long texts don't fill a worker's memory.
-ARROW_BATCH_BYTES = "8m"
+ARROW_BATCH_BYTES = "4m"
 
 
 def prepare(spark: SparkSession) -> None:

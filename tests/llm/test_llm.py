@@ -672,6 +672,14 @@ def test_ids_equal_a_public_encoder(coder, peer):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == peer.encode_ordinary(t or "")
 
 
+def test_parts_of_a_batch_encode_as_the_whole(coder, monkeypatch):
+    buf, offsets = textvec.column(pa.array(["", *oracle("select text from documents").text.tolist(), None, LONG, ""]))
+    whole = [x.tolist() for x in coder.encode_exact(buf, offsets)]
+    for size in (1, 1000, 50_000, 1 << 30):
+        monkeypatch.setattr(bpe, "PART", size)
+        assert [x.tolist() for x in coder.encode_exact(buf, offsets)] == whole
+
+
 def test_encode_awkward(spark):
     out = encode.encode_documents(docs(spark))
     rows = out.collect()
