@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import session
 from loomgraph.functions import values
-from loomgraph.model import Graph
+from loomgraph.model import EdgeTable, Graph, NodeTable
 from loomgraph.operators.retrieval import reciprocal_rank_fusion
 from pyspark.sql import Window
 
@@ -113,6 +113,32 @@ def validate(graph: Graph, shapes: list[dict]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def apply_rules(graph: Graph, rules: list[str]) -> tuple[Graph, DataFrame]:
+    """The graph with what CONSTRUCT rules add, and the added triples (s, p, o, is_iri).
+
+    Every rule reads the given graph.  Triples with an IRI become edges of their predicate, the others (literals and bound
+    variables) properties; what the graph has already isn't added again.  A rule that makes ``sh:result`` is one for
+    validation and is skipped.
+    """
+    from loomgraph.plans import sparql
+
+    result = F.col("p").isin("sh:result", "http://www.w3.org/ns/shacl#result")
+    each = [sparql.run(graph, r).select("s", "p", "o", "is_iri") for r in rules]
+    each = [x for x in each if x.filter(result).limit(1).count() == 0]
+    if not each:
+        return graph, graph.triples().select("s", "p", "o", "is_iri").limit(0)
+    made = reduce(DataFrame.unionByName, each).distinct()
+    new = session.cut(made.join(graph.triples().select("s", "p", "o", "is_iri"), ["s", "p", "o", "is_iri"], "left_anti"))
+    nodes, edges = list(graph.node_tables), list(graph.edge_tables)
+    for p, iri in sorted((r.p, r.is_iri) for r in new.select("p", "is_iri").distinct().toLocalIterator()):  # predicates of the rules' templates
+        part = new.filter((F.col("p") == p) & (F.col("is_iri") == iri))
+        if iri:
+            edges.append(EdgeTable(p, part.select(F.col("s").alias("src"), F.col("o").alias("dst"))))
+        else:
+            nodes.append(NodeTable(part.select(F.col("s").alias("id"), F.col("o").alias(p)), ()))
+    return Graph(graph.spark, nodes, edges), new
+
+
 # uncertain inference
 
 
@@ -174,6 +200,24 @@ def abduce(beliefs: DataFrame, shared: int = 3, strong: float = 0.55, least: flo
     return out.filter(F.col("strength") >= least)
 
 
+def promote_merges(proposals: DataFrame, least: float = 0.7) -> DataFrame:
+    """(src, dst, confidence) of RELATED_TO edges from merge proposals of at least that confidence, the surest of each pair."""
+    return proposals.filter(F.col("confidence") >= least).groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
+
+
+def consolidate(beliefs: DataFrame, proposals: DataFrame, attention: DataFrame, rate: float = 0.85) -> dict[str, DataFrame]:
+    """One pass of forgetting and inference.
+
+    ``beliefs`` (src, dst, strength, confidence, age_days) lose confidence with age; promoted ``proposals`` (src, dst,
+    confidence) join them; then they are chained.  Gives ``related``, ``beliefs``, ``attention`` decayed, and ``promoted``,
+    the ids of lasting importance.
+    """
+    aged = decay_confidence(beliefs, "age_days", rate).select("src", "dst", "strength", "confidence")
+    related = session.cut(promote_merges(proposals))
+    chained = forward_chain(aged.unionByName(related.select("src", "dst", F.col("confidence").alias("strength"), "confidence")))
+    return {"related": related, "beliefs": chained, "attention": decay_attention(attention, rate), "promoted": attention.filter(F.col("vlti") | (F.col("lti") >= 700)).select("id")}
+
+
 def decay_confidence(df: DataFrame, age_days: str, rate: float = 0.85, grace: int = 14, floor: float = 0.1) -> DataFrame:
     """Confidence falls by ``rate`` a day after the grace, never below the floor; younger edges keep theirs."""
     late = F.col(age_days) - grace

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import base64
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph import session
 from loomgraph.functions import values
@@ -60,14 +64,51 @@ def cosine_top_k(df: DataFrame, query: list[float], k: int = 10, vector: str = "
     return rows.select(F.col(id_col).alias("id"), values.cosine(F.col(vector), q).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
+@F.pandas_udf(T.StringType())
+def encode_vec(v: pd.Series) -> pd.Series:
+    """A vector as base64 of its little-endian 32-bit floats; null stays null."""
+    return v.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, "<f4").tobytes()).decode())
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def decode_vec(s: pd.Series) -> pd.Series:
+    """The inverse of :func:`encode_vec`; bytes beyond the last whole float are dropped."""
+    def one(x):
+        raw = base64.b64decode(x)
+        return np.frombuffer(raw[: len(raw) // 4 * 4], "<f4")
+
+    return s.map(lambda x: None if x is None else one(x))
+
+
+def vectorize(df: DataFrame, embed: Callable[[Column], Column], text: str = "text", id_col: str = "doc_id", size: int = 1500, overlap: int = 200) -> DataFrame:
+    """(doc_id, chunk_index, text, embedding) of every chunk, embedded by a column expression, for instance a pandas UDF that calls a model."""
+    return chunk_documents(df, size, overlap, text, id_col).withColumn("embedding", embed(F.col("text")))
+
+
+def semantic_search(chunks: DataFrame, query: str, vector: list[float], k: int = 5, scope: str | None = None, least: float = 0.05) -> DataFrame:
+    """(id, filename, text, score) of the k best chunks (id, filename, text, embedding), then those above ``least``; ties by id.
+
+    The score is the cosine; where there is no vector, or it is 0, half the share of the query's words of more than two
+    letters that the chunk has.  ``scope`` keeps the chunks whose file name contains it, unless none does.
+    """
+    if scope is not None:
+        some = chunks.filter(F.contains(F.lower(F.coalesce("filename", F.lit(""))), F.lit(scope.lower())))
+        chunks = some if some.limit(1).count() else chunks
+    words = sorted({w for w in re.split(r"[^A-Za-z0-9_]+", query.lower()) if len(w) > 2})
+    have = F.array_distinct(F.split(F.lower("text"), "[^A-Za-z0-9_]+"))
+    lexical = F.size(F.array_intersect(have, F.array(*map(F.lit, words)))) / len(words) * 0.5 if words else F.lit(0.0)
+    close = values.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector])) if vector else F.lit(0.0)
+    close = F.coalesce(F.when(F.size("embedding") > 0, close), F.lit(0.0))
+    scored = chunks.filter("text is not null and text <> ''").select("id", "filename", "text", F.when(close != 0, close).otherwise(lexical).alias("score"))
+    return scored.orderBy(F.col("score").desc(), "id").limit(k).filter(F.col("score") > least)
+
+
 def cosine_join(queries: DataFrame, df: DataFrame, k: int, vector: str = "embedding", id_col: str = "vec_id", batch: int = 4096) -> DataFrame:
     """(query, id, score, place): the exact k nearest of every query, by blocks of a matrix product.
 
     Both sides are cut in blocks; each pair of blocks is one task's matrix product that keeps k a query, so the exchange is
     k rows a query and block and not the whole product.  Ties go to the lower id; a row isn't its own neighbour.
     """
-    import pandas as pd
-
     session.ship(df.sparkSession)
 
     def blocks(x: DataFrame, tag: str) -> DataFrame:
@@ -88,7 +129,8 @@ def cosine_join(queries: DataFrame, df: DataFrame, k: int, vector: str = "embedd
                 yield pd.DataFrame({"query": np.repeat(qi, order.shape[1]).reshape(order.shape)[on], "id": di[order][on], "score": take[on]})
 
     pairs = blocks(queries, "q").crossJoin(blocks(df, "d")).repartition(df.sparkSession.sparkContext.defaultParallelism)
-    found = pairs.select("qrows", "drows").mapInPandas(best, "query bigint, id bigint, score double")
+    kinds = [x.schema[id_col].dataType.simpleString() for x in (queries, df)]
+    found = pairs.select("qrows", "drows").mapInPandas(best, f"query {kinds[0]}, id {kinds[1]}, score double")
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 

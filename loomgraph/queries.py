@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import values
 from loomgraph.model import EdgeTable, Graph, NodeTable
-from loomgraph.operators import graph, kernel, knowledge, retrieval
+from loomgraph.operators import graph, kernel, knowledge, retrieval, typing, writes
 from loomgraph.plans import cypher, gremlin, pattern, sparql
 from loomgraph.sources import entities
 from loomgraph.sources.tables import co_purchase, conversation_graph, customer_parts, document_graph, star_graph, table
@@ -439,3 +439,66 @@ add("entity_co_occurrence", f"WITH {_ENT}, q AS (SELECT DISTINCT a.id, a.atom AS
 add("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(lambda spark, d: log.window_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4)))
 add("graph_health", "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) AS nodes, (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) AS edges, 0 AS dangling_edges")(
     lambda spark, d: star_graph(spark, d).health().select("nodes", "edges", "dangling_edges"))
+
+# writes, typing, rules, search
+
+
+def _store_of(spark, d) -> writes.Store:
+    c = table(spark, d, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"), F.array(F.lit("Customer")).alias("labels"), F.create_map(F.lit("name"), "c_name", F.lit("segment"), "c_mktsegment").alias("properties"))
+    return writes.Store(c, spark.createDataFrame([], "label string, src string, dst string, properties map<string,string>"))
+
+
+def _order_batch(spark, d) -> DataFrame:
+    """Each order writes its customer's last order and segment, and the label Buyer."""
+    o = table(spark, d, "orders")
+    return o.select(F.concat(F.lit("customer:"), "o_custkey").alias("id"), F.array(F.lit("Buyer")).alias("labels"), F.create_map(F.lit("last"), F.col("o_orderkey").cast("string"), F.lit("segment"), "o_orderpriority").alias("properties"), F.col("o_orderkey").alias("seq"))
+
+
+add("upsert_nodes", "WITH o AS (SELECT o_custkey, max(o_orderkey) AS last, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1) SELECT 'customer:' || coalesce(c_custkey, o_custkey) AS id, concat_ws(',', CASE WHEN o_custkey IS NOT NULL THEN 'Buyer' END, CASE WHEN c_custkey IS NOT NULL THEN 'Customer' END) AS labels, c_name AS name, last::VARCHAR AS last, coalesce(p, c_mktsegment) AS segment FROM customer FULL JOIN o ON o_custkey = c_custkey")(
+    lambda spark, d: _store_of(spark, d).transaction(nodes=_order_batch(spark, d)).nodes.select("id", F.array_join("labels", ",").alias("labels"), *[F.try_element_at("properties", F.lit(k)).alias(k) for k in ("name", "last", "segment")]))
+add("upsert_edges", "SELECT 'ORDERED' AS label, 'customer:' || o_custkey AS src, 'part:' || l_partkey AS dst, arg_max(l_orderkey, l_orderkey)::VARCHAR AS last FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 2, 3")(
+    lambda spark, d: _store_of(spark, d).transaction(edges=table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit("ORDERED").alias("label"), F.concat(F.lit("customer:"), "o_custkey").alias("src"), F.concat(F.lit("part:"), "l_partkey").alias("dst"), F.create_map(F.lit("last"), F.col("l_orderkey").cast("string")).alias("properties"), F.col("l_orderkey").alias("seq"))).edges.select("label", "src", "dst", F.try_element_at("properties", F.lit("last")).alias("last")))
+add("unique_violations", "SELECT 'Part' AS label, 'kind' AS key, p_brand || p_type || p_size AS value, count(*) AS n FROM part GROUP BY 3 HAVING count(*) > 1")(
+    lambda spark, d: writes.unique_violations(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.array(F.lit("Part")).alias("labels"), F.create_map(F.lit("kind"), F.concat("p_brand", "p_type", F.col("p_size").cast("string"))).alias("properties")), [("Part", "kind")]))
+add("log_clock", "SELECT max(event_id) AS version, min(ts) AS earliest, max(ts) AS latest FROM events")(lambda spark, d: writes.clock(table(spark, d, "events").select(F.col("event_id").alias("seq"), "ts")))
+
+
+def _concepts(spark, d) -> DataFrame:
+    n = table(spark, d, "nation")
+    return n.select(F.concat(F.lit("rc:"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("id"), F.col("n_name").alias("pref_label"), F.array(F.concat(F.lit("R\u00e9gion "), F.col("n_regionkey").cast("string"))).alias("alt_labels"))
+
+
+def _classes(spark, d):
+    n = table(spark, d, "nation").select(F.concat(F.lit("rc:"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("sub"), F.concat(F.lit("kko:"), F.col("n_regionkey").cast("string")).alias("sup"))
+    return n, n.select(F.col("sup").alias("class")).distinct()
+
+
+@add("kko_mapping", """WITH e AS (SELECT DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN 'region-' || s_nationkey % 7 ELSE 'Nation: ' || s_nationkey END AS entity FROM supplier), k AS (SELECT *, regexp_replace(lower(entity), '[^a-z0-9]+', ' ', 'g') AS l FROM e),
+    i AS (SELECT l, min(n) AS k, count(*) AS c FROM (SELECT regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g') AS l, n_nationkey AS n FROM nation UNION SELECT 'region ' || n_regionkey, n_nationkey FROM nation) GROUP BY 1)
+    SELECT entity, 'rc:' || lpad(n_nationkey::VARCHAR, 3, '0') AS matched, n_name AS pref_label, coalesce(c, 0)::INT AS candidates, coalesce('kko:' || n_regionkey, '') AS types FROM k LEFT JOIN i ON i.l = k.l LEFT JOIN nation ON n_nationkey = i.k""")
+def _(spark, d):
+    e = table(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("region-"), (F.col("s_nationkey") % 7).cast("string"))).otherwise(F.concat(F.lit("Nation: "), F.col("s_nationkey").cast("string"))).alias("entity")).distinct()
+    c = _concepts(spark, d)
+    sub, roots = _classes(spark, d)
+    kinds = knowledge.type_ancestors(sub, c.select("id", F.col("id").alias("class")), roots)
+    return typing.map_entities(e, c, kinds).withColumn("types", F.array_join("types", ","))
+
+
+@add("kko_typed_as", "SELECT 'supplier:' || s_suppkey AS id, 'kko:' || n_regionkey AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def _(spark, d):
+    s = table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("name"))
+    return typing.entity_types(typing.typed_as(s, _concepts(spark, d)), *_classes(spark, d))
+
+
+@add("shacl_rules", "SELECT 'customer:' || c_custkey AS s, 'SERVED_FROM' AS p, 'region:' || n_regionkey AS o, false AS is_iri FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT DISTINCT 'nation:' || s_nationkey, 'SUPPLIES', 'region:hub', true FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def _(spark, d):
+    rules = ["CONSTRUCT { ?c SERVED_FROM ?r } WHERE { ?c CUSTOMER_IN ?n . ?n IN_REGION ?r }", "CONSTRUCT { ?n SUPPLIES <region:hub> } WHERE { ?s SUPPLIER_IN ?n . ?n IN_REGION ?r }", "CONSTRUCT { ?n n_name ?m } WHERE { ?n n_name ?m }", "CONSTRUCT { ?n sh:result ?m } WHERE { ?n n_name ?m }"]
+    return knowledge.apply_rules(star_graph(spark, d), rules)[1]
+
+
+_WORDS = ["energy", "the", "water"]
+add("semantic_search", f"""WITH c AS (SELECT doc_id AS id, source AS filename, text, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE text <> ''), x AS (SELECT *, CASE WHEN embedding IS NOT NULL THEN list_dot_product(embedding::DOUBLE[], {_Q}::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({_Q}::DOUBLE[], {_Q}::DOUBLE[]))) ELSE 0 END AS cosine FROM c),
+    y AS (SELECT id, filename, CASE WHEN cosine <> 0 THEN cosine ELSE len(list_intersect(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+'), {_WORDS})) / {len(_WORDS)}.0::DOUBLE * 0.5 END AS score FROM x) SELECT id, filename, round(score, 9) AS score FROM (SELECT * FROM y ORDER BY score DESC, id LIMIT 25) WHERE score > 0.05""")(
+    lambda spark, d: retrieval.semantic_search(table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("vec_id") == F.col("doc_id"), "left").select(F.col("doc_id").alias("id"), F.col("source").alias("filename"), "text", "embedding"), "Energy of the water, it is", _Q, 25, "nowhere").select("id", "filename", F.round("score", 9).alias("score")))
+add("vector_codec", "SELECT vec_id, len(embedding)::INT AS n, true AS same FROM embeddings")(
+    lambda spark, d: table(spark, d, "embeddings").withColumn("back", retrieval.decode_vec(retrieval.encode_vec("embedding"))).select("vec_id", F.size("back").alias("n"), (F.col("back") == F.col("embedding").cast("array<float>")).alias("same")))

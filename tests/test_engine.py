@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from loomgraph import queries as registered
 from loomgraph.functions import values
 from loomgraph.model import EdgeTable, Graph, NodeTable
-from loomgraph.operators import graph, kernel, knowledge, retrieval
+from loomgraph.operators import graph, kernel, knowledge, retrieval, typing, writes
 from loomgraph.plans import cypher, gremlin, pattern, sparql
 from loomgraph.plans.sparql import UnsupportedQuery
 from loomgraph.sources import entities, files, tables
@@ -435,3 +435,65 @@ def test_triples_of_every_table(spark, tmp_path):
     want += [("nation:3", "IN_REGION", "region:0", True), ("customer:7", "CUSTOMER_IN", "nation:3", True), ("supplier:4", "SUPPLIER_IN", "nation:3", True), ("customer:7", "PLACED", "order:5", True), ("order:5", "CONTAINS", "part:9", True)]
     got = rows(registered.QUERIES["triples_projection"](spark, str(tmp_path)).select("s", "p", "o", "is_iri"))
     assert got == sorted(want, key=repr)
+
+
+def test_upserts_constraints_and_transactions(spark):
+    kind = "id string, labels array<string>, properties map<string,string>"
+    store = writes.Store(spark.createDataFrame([("u0", ["User"], {"email": "taken", "x": "1"})], kind), spark.createDataFrame([], "label string, src string, dst string, properties map<string,string>"))
+
+    def batch(*r):
+        return spark.createDataFrame([(*x, i) for i, x in enumerate(r)], kind + ", seq bigint")
+
+    def nodes(s):
+        return {r.id: (list(r.labels), r.properties) for r in s.nodes.collect()}
+
+    one = store.transaction(batch(("u0", ["Admin"], {"x": "2"}), ("u0", [], {"x": "3", "y": None}), ("n", [], None)), spark.createDataFrame([("E", "u0", "n", {"w": "1"}, 0), ("E", "u0", "n", {"w": "2"}, 1)], "label string, src string, dst string, properties map<string,string>, seq bigint"))
+    assert nodes(one) == {"u0": (["Admin", "User"], {"email": "taken", "x": "3", "y": None}), "n": ([], {})} and one.version == 5
+    assert [tuple(r) for r in one.edges.collect()] == [("E", "u0", "n", {"w": "2"})]
+    bound = store.add_unique_constraint("User", "email")
+    for bad in ((("u1", ["User"], {"email": "new"}), ("u2", ["User"], {"email": "taken"})), (("u1", ["User"], {"email": "dup"}), ("u2", ["User"], {"email": "dup"}))):
+        with pytest.raises(writes.ConstraintViolation, match=r"User\.email"):
+            bound.transaction(batch(*bad))
+    assert nodes(bound) == nodes(store)
+    fine = bound.transaction(batch(("u0", ["User"], {"email": "taken"}), ("c", ["Contact"], {"email": "taken"}), ("u3", ["User"], {"z": "1"}), ("u4", ["User"], {"z": "1"})))
+    assert nodes(fine).keys() == {"u0", "c", "u3", "u4"}
+    set_ = writes.set_property(fine.nodes, spark.createDataFrame([("u0", "email", "b", 1), ("ghost", "email", "b", 2)], "id string, key string, value string, seq bigint"))
+    assert {r.id: r.properties.get("email") for r in set_.collect()} == {"u0": "b", "c": "taken", "u3": None, "u4": None}
+
+
+def test_typing(spark):
+    labels = spark.createDataFrame([("Crème  Brûlée!",), ("ﬁne_Print",), ("Ångström—unit",), (None,), ("漢字",)], "s string").select(typing.normal_label(F.col("s")).alias("n"))
+    assert [r.n for r in labels.collect()] == ["creme brulee", "fine print", "angstrom unit", None, ""]
+    c = spark.createDataFrame([("rc:2", "Cat", ["Feline"], [1.0, 0.0]), ("rc:1", "Tiger", ["féline"], [0.0, 1.0]), ("rc:3", "Dog", None, [])], "id string, pref_label string, alt_labels array<string>, vector array<double>")
+    kinds = spark.createDataFrame([("rc:1", "kko:Animals"), ("rc:1", "kko:A")], "id string, type string")
+    e = spark.createDataFrame([("FELINE", [1.0, 0.1]), ("dog", []), ("kitty", [0.9, 0.1]), ("rock", [-1.0, -1.0]), ("", [])], "entity string, vector array<double>")
+    got = {r.entity: (r.matched, r.pref_label, r.candidates, r.types) for r in typing.map_entities(e, c, kinds).collect()}
+    assert got == {"FELINE": ("rc:1", "Tiger", 2, ["kko:A", "kko:Animals"]), "dog": ("rc:3", "Dog", 1, []), "kitty": (None, None, 0, []), "rock": (None, None, 0, []), "": (None, None, 0, [])}
+    near = {r.entity: (r.matched, r.via) for r in typing.map_entities_by_vector(e, c).collect()}
+    assert near == {"FELINE": ("rc:1", "exact"), "dog": ("rc:3", "exact"), "kitty": ("rc:2", "semantic"), "rock": (None, "none"), "": (None, "none")}
+    n = spark.createDataFrame([("a", "cat"), ("Dog", None), ("x", "none")], "id string, name string")
+    assert rows(typing.typed_as(n, c).select("src", "dst")) == [("Dog", "rc:3"), ("a", "rc:2")]
+
+
+def test_semantic_search(spark):
+    c = spark.createDataFrame([(1, "a.md", "the graph database", [1.0, 0.0]), (2, "b.md", "graph of words", None), (3, "b.md", "", [1.0, 0.0]), (4, None, "nothing like it", [0.0, 1.0]), (5, "B.md", "graph database words", [])], "id int, filename string, text string, embedding array<double>")
+    assert [(r.id, round(r.score, 3)) for r in retrieval.semantic_search(c, "Graph database is", [1.0, 0.0]).collect()] == [(1, 1.0), (5, 0.5), (2, 0.25)]
+    assert [r.id for r in retrieval.semantic_search(c, "Graph database", [1.0, 0.0], scope="b.MD").collect()] == [5, 2]
+    assert [r.id for r in retrieval.semantic_search(c, "Graph database", [], 1, scope="nowhere").collect()] == [1]
+    codec = spark.createDataFrame([([1.5, -2.0],), ([],), (None,)], "v array<double>").select(retrieval.encode_vec("v").alias("s")).select("s", retrieval.decode_vec("s").alias("v")).collect()
+    assert [r.v for r in codec] == [[1.5, -2.0], [], None] and codec[0].s == "AADAPwAAAMA="
+    v = retrieval.vectorize(spark.createDataFrame([(1, "x" * 20)], "doc_id int, text string"), lambda t: F.array(F.length(t).cast("double")), size=15, overlap=5)
+    assert [r.embedding for r in v.orderBy("chunk_index").collect()] == [[15.0], [10.0]]
+
+
+def test_rules_and_consolidation(spark, people):
+    g, new = knowledge.apply_rules(people, ["CONSTRUCT { ?a seen <b> } WHERE { ?a knows ?b }", "CONSTRUCT { ?a called ?n } WHERE { ?a name ?n }", "CONSTRUCT { ?a sh:result ?n } WHERE { ?a name ?n }"])
+    assert new.filter("p = 'seen' and is_iri").count() == 2 and new.filter("p = 'called' and not is_iri").count() >= 2 and new.filter("p = 'sh:result'").count() == 0
+    assert g.edges("seen").count() == 2 and g.triples("called").count() == new.filter("p = 'called'").count() and knowledge.apply_rules(g, ["CONSTRUCT { ?a seen <b> } WHERE { ?a knows ?b }"])[1].count() == 0
+    b = spark.createDataFrame([("a", "b", 0.9, 0.8, 5), ("b", "c", 0.9, 0.8, 16)], "src string, dst string, strength double, confidence double, age_days int")
+    p = spark.createDataFrame([("c", "d", 0.7), ("c", "e", 0.69)], "src string, dst string, confidence double")
+    a = spark.createDataFrame([("a", 100.0, 0.0, False), ("b", 0.0, 700.0, False)], "id string, sti double, lti double, vlti boolean")
+    out = knowledge.consolidate(b, p, a)
+    assert rows(out["related"]) == [("c", "d", 0.7)] and rows(out["promoted"]) == [("b",)]
+    known = {(r.src, r.dst): round(r.confidence, 6) for r in out["beliefs"].collect()}
+    assert known["b", "c"] == round(0.8 * 0.85**2, 6) and known["c", "d"] == 0.7 and {("a", "c"), ("a", "d"), ("b", "d")} <= known.keys()
