@@ -49,8 +49,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
 
     ``teleport`` (id, weight) makes it personalised; without weight in the graph it is uniform.  ``warm`` (id, rank) starts
     from earlier ranks.  A round joins the state to the links and sums messages and the state itself by id in one
-    aggregate, so it has three exchanges at most; the written state then gives the mass of the sinks and how far the
-    ranks moved, one scan of three columns.  With ``tolerance`` None exactly ``rounds`` rounds run.
+    aggregate; with the one row of the sinks' mass it has three exchanges at most.  The written state tells how far the
+    ranks moved.  With ``tolerance`` None exactly ``rounds`` rounds run.
     """
     ids = (nodes.select("id").distinct() if nodes is not None else vertices(edges))
     if nodes is not None:
@@ -72,17 +72,20 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
         state = base.join(warm.select("id", F.col("rank").alias("r0")), "id", "left").select("id", "sink", "t", F.coalesce("r0", F.lit(1.0 / n)).alias("rank"))
         mass = state.agg(F.sum("rank")).first()[0]
         state = state.withColumn("rank", F.col("rank") / mass)
-    state = session.cut(state.withColumn("before", F.col("rank")))
+    state = state.withColumn("before", F.col("rank"))
+    written = None
     for k in range(rounds):
-        lost, moved = state.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("before")))).first()
-        if k and tolerance is not None and moved < tolerance:
+        if k and tolerance is not None and state.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < tolerance:
             break
+        lost = state.filter("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         given = links.join(state.select(F.col("id").alias("src"), "rank"), "src").select(F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("given"))
         own = state.select("id", F.lit(0.0).alias("given"), "sink", "t", "rank")
         both = given.select("id", "given", F.lit(None).cast("boolean").alias("sink"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("rank")).unionByName(own)
-        new = both.groupBy("id").agg(F.sum("given").alias("given"), F.max("sink").alias("sink"), F.max("t").alias("t"), F.max("rank").alias("before"))
-        old, state = state, session.cut(new.select("id", "sink", "t", ((1 - damping) * F.col("t") + damping * (F.col("given") + lost * F.col("t"))).alias("rank"), "before"))
-        session.discard(old)
+        new = both.groupBy("id").agg(F.sum("given").alias("given"), F.max("sink").alias("sink"), F.max("t").alias("t"), F.max("rank").alias("before")).crossJoin(F.broadcast(lost))
+        state = session.cut(new.select("id", "sink", "t", ((1 - damping) * F.col("t") + damping * (F.col("given") + F.col("lost") * F.col("t"))).alias("rank"), "before"))
+        if written is not None:
+            session.discard(written)
+        written = state
     return state.select("id", "rank")
 
 
