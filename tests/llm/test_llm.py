@@ -472,6 +472,41 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(t[p["first_byte"] : p["end_byte"]].strip() for t, p in passages)
 
 
+def brute_passages(hot):
+    """Maximal segments of (token, score) pairs among tokens that cost 1 each, by trying every pair of ends, then both sides."""
+    best, at = 0, None
+    for x in range(len(hot)):
+        total = 0
+        for y in range(x, len(hot)):
+            total += hot[y][1] - (toxicity.COST * (hot[y][0] - hot[y - 1][0] - 1) if y > x else 0)
+            if total > best + 1e-9:
+                best, at = total, (x, y)
+    if at is None:
+        return []
+    x, y = at
+    return brute_passages(hot[:x]) + [(hot[x][0], hot[y][0], best)] + brute_passages(hot[y + 1 :])
+
+
+def test_the_toxicity_query_matches_brute_force(spark):
+    d, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    model = toxicity.fit(d, labels)
+    weight = {int(k): float(model.score[i]) for k, i in zip(model.table.keys, model.table.order, strict=True)}
+    want = {}
+    for doc, text in d.select("doc_id", "text").collect():
+        words = list(re.finditer(r"[0-9A-Za-z_\x80-\U0010ffff]+", text or ""))
+        scores = []
+        for m in words:
+            w = m[0]
+            keys = [textvec.word_hash(w)] + [textvec.word_hash(w[:k]) ^ (0x5851F42D4C957F2D * (i + 1) & (2**64 - 1)) for i, k in enumerate(toxicity.PREFIXES) if len(w) > k]
+            scores.append(max(0.0, *(weight.get(k, 0.0) for k in keys)))
+        found = brute_passages([(i, x) for i, x in enumerate(scores) if x > 0])
+        p = toxicity.p_value([x for *_, x in found], len(words), model.slope, model.k) if found else 1.0
+        shown = [(len(text[: words[a].start()].encode()), len(text[: words[b].end()].encode()), round(x, 6)) for a, b, x in found if toxicity.p_value([x], len(words), model.slope, model.k) < toxicity.ALPHA]
+        want[doc] = (pytest.approx(p, rel=1e-6, abs=1e-12), shown, p < toxicity.ALPHA)
+    got = {r.doc_id: (r.p_value, [(q.first_byte, q.end_byte, q.score) for q in r.passages], r.toxic) for r in queries.op6_toxicity(spark, SF).collect()}
+    assert got == want and 0 < sum(x[2] for x in got.values()) < len(got)
+
+
 def test_toxicity_awkward(spark):
     labels = common.table(spark, SF, "labels")
     rows = toxicity.find_toxic(docs(spark), labels).collect()
