@@ -410,6 +410,38 @@ def test_quality_finds_the_bad_line():
     assert p[2] < 0.5 and p[2] == p.min() and p[0] > 0.5 and p[4] > 0.5
 
 
+def test_the_quality_query_matches_a_plain_chain(spark):
+    """Each document for itself, with sums over labellings by logarithms in plain Python."""
+    d, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    f = quality.fit(d, labels)
+
+    def add(values):
+        top = max(values)
+        return top + np.log(sum(np.exp(v - top) for v in values))
+
+    want = {}
+    for doc, text in d.select("doc_id", "text").collect():
+        x, chars, bounds = quality.features(*textvec.column(pa.array([text], pa.string())))
+        odds = f.odds(x, bounds).tolist()
+        lines = [t for t in (text or "").split("\n") if t]
+        assert len(lines) == len(odds)
+        n, p = len(odds), []
+        ahead, back = [[0.0, 0.0] for _ in range(n)], [[0.0, 0.0] for _ in range(n)]
+        for t in range(n):
+            for y in (0, 1):
+                ahead[t][y] = odds[t] * y + (f.start[y] if t == 0 else add([ahead[t - 1][u] + f.transition[u, y] for u in (0, 1)]))
+        for t in range(n - 2, -1, -1):
+            for y in (0, 1):
+                back[t][y] = add([f.transition[y, u] + odds[t + 1] * u + back[t + 1][u] for u in (0, 1)])
+        for t in range(n):
+            both = [ahead[t][y] + back[t][y] for y in (0, 1)]
+            p.append(float(np.exp(both[1] - add(both))))
+        mean = float(np.dot(p, chars) / chars.sum()) if n else 0.0
+        want[doc] = (pytest.approx(mean, abs=1e-9), mean >= quality.THRESHOLD, n, [t for t in range(n) if p[t] < 0.5])
+    got = {r.doc_id: (r.quality, r.good, r.n_lines, r.bad_lines) for r in queries.op5_quality(spark, SF).collect()}
+    assert got == want and 0 < sum(x[1] for x in got.values()) < len(got)
+
+
 def test_quality_awkward(spark):
     labels = common.table(spark, SF, "labels")
     f = quality.fit(common.table(spark, SF, "documents"), labels)
