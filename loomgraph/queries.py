@@ -429,7 +429,7 @@ _ENT = f"""f AS ({_FOUND}), u AS (SELECT doc_id, r, i, confidence, regexp_replac
     z AS (SELECT *, [] {_TOPIC} AS topic FROM t),
     ent AS (SELECT doc_id AS id, entity, surface, CASE WHEN regexp_matches(surface, '^[~/.]|\\.(ts|js|py|rs|go|json|yaml|md|sh|txt)$|^https?://') THEN 'RECORD' WHEN regexp_matches(surface, '^[A-Z][a-z]+ [A-Z][a-z]+$') THEN 'PERSON'
         WHEN regexp_matches(surface, '(?i)(engineer|researcher|developer|manager|analyst|scientist|architect|founder|cto|ceo|vp|director)$') THEN 'ROLE' WHEN regexp_matches(surface, '(?i)(inc\\.?|llc\\.?|corp\\.?|ltd\\.?|company|organization|foundation)$') THEN 'ORG' ELSE 'FEATURE_ATOM' END AS kind,
-        CASE WHEN len(topic) = 0 THEN ['CITIZEN'] ELSE topic END AS topics, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY r, i) AS place, 'urn:regis:feature-atom:' || substring(regexp_replace(entity, '[^a-z0-9]', '-', 'g'), 1, 80) AS atom FROM z)"""
+        CASE WHEN len(topic) = 0 THEN ['CITIZEN'] ELSE topic END AS topics, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY r, i) AS place, 'urn:feature-atom:' || substring(regexp_replace(entity, '[^a-z0-9]', '-', 'g'), 1, 80) AS atom FROM z)"""
 add("entity_extract", f"WITH {_ENT} SELECT id, entity, surface, kind, array_to_string(topics, ',') AS topics, confidence, place FROM ent")(lambda spark, d: entities.extract(table(spark, d, "documents")).withColumn("topics", F.array_join("topics", ",")))
 add("entity_atoms", f"WITH {_ENT}, k AS (SELECT atom, arg_max({{'e': entity, 'k': kind, 'c': confidence}}, {{'i': id, 'p': place}}) AS l, count(*) AS mentions FROM ent GROUP BY 1), s AS (SELECT atom, string_agg(DISTINCT x, ',' ORDER BY x) AS topics FROM (SELECT atom, unnest(topics) AS x FROM ent) GROUP BY 1) SELECT atom AS id, l.e AS entity, l.k AS kind, l.c AS confidence, topics, mentions FROM k JOIN s USING (atom)")(
     lambda spark, d: entities.atoms(entities.extract(table(spark, d, "documents"))).withColumn("topics", F.array_join("topics", ",")))

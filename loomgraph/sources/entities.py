@@ -74,7 +74,7 @@ def extract(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
 
 def atom_id(entity: Column) -> Column:
     """The id of a normalised entity."""
-    return F.concat(F.lit("urn:regis:feature-atom:"), F.substring(F.regexp_replace(entity, "[^a-z0-9]", "-"), 1, 80))
+    return F.concat(F.lit("urn:feature-atom:"), F.substring(F.regexp_replace(entity, "[^a-z0-9]", "-"), 1, 80))
 
 
 def atoms(mentions: DataFrame) -> DataFrame:

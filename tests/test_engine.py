@@ -348,7 +348,7 @@ def test_entities(spark):
     kinds = spark.createDataFrame([("senior engineer",), ("Acme Inc.",), ("https://x.y",), ("the git repo",), ("paper on xss",)], "s string").select("s", entities.kind_of(F.col("s")).alias("k"), entities.topics_of(F.col("s")).alias("t"))
     assert {r.s: (r.k, r.t) for r in kinds.collect()} == {"senior engineer": ("ROLE", ["CITIZEN"]), "Acme Inc.": ("ORG", ["CITIZEN"]), "https://x.y": ("RECORD", ["CITIZEN"]), "the git repo": ("FEATURE_ATOM", ["ENGINEER"]), "paper on xss": ("FEATURE_ATOM", ["RESEARCHER", "SECURITY_RESEARCHER"])}
     pairs = {(r.src, r.dst) for r in entities.co_occurrence(entities.extract(spark.createDataFrame([(1, '"bbb" and "aaa"')], "doc_id int, text string"))).collect()}
-    assert pairs == {("urn:regis:feature-atom:bbb", "urn:regis:feature-atom:aaa")}
+    assert pairs == {("urn:feature-atom:bbb", "urn:feature-atom:aaa")}
 
 
 def test_log_stream(spark, tmp_path):
