@@ -437,6 +437,20 @@ def test_triples_of_every_table(spark, tmp_path):
     assert got == sorted(want, key=repr)
 
 
+def test_triples_keep_the_sign_of_zero(spark, tmp_path):
+    import os
+
+    for name in ("region", "nation", "supplier", "part", "orders", "lineitem"):
+        os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    c = spark.read.parquet(f"{SF}/customer.parquet").coalesce(1)
+    os.mkdir(tmp_path / "c")
+    c.withColumn("c_acctbal", F.when(F.col("c_custkey") % 3 == 0, F.lit(-0.0)).when(F.col("c_custkey") % 3 == 1, F.lit(0.0)).otherwise(F.col("c_acctbal"))).write.parquet(str(tmp_path / "c" / "x"))
+    part = next((tmp_path / "c" / "x").glob("*.parquet"))
+    os.symlink(part, tmp_path / "customer.parquet")
+    name = "triples_projection"
+    assert compare(spark, str(tmp_path), name, registered.QUERIES[name], registered.ORACLES[name]) == ""
+
+
 def test_upserts_constraints_and_transactions(spark):
     kind = "id string, labels array<string>, properties map<string,string>"
     store = writes.Store(spark.createDataFrame([("u0", ["User"], {"email": "taken", "x": "1"})], kind), spark.createDataFrame([], "label string, src string, dst string, properties map<string,string>"))
