@@ -167,6 +167,41 @@ def test_link_prediction(spark):
     assert [r.id for r in graph.predict_links(e, "x", 5).collect()] == ["y", "z"]
 
 
+def test_link_classes_lose_no_pair(spark):
+    from itertools import combinations
+
+    # leaves of two hubs, twins within and across, and hubs that share leaves
+    pairs = [("h", x) for x in "abcdef"] + [("i", x) for x in "efgh"] + [("a", "a1"), ("b", "b1"), ("g", "g1"), ("g", "g2")]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    e = edges(spark, pairs)
+    for metric in ("common_neighbours", "adamic_adar", "preferential_attachment"):
+        table = graph.link_table(e, metric).collect()
+        of = {r.a: r.b for r in table if r.kind == "member"}
+        assert of.keys() == near.keys() and len(set(of.values())) < len(near)
+        scored = {(r.a, r.b): r for r in table if r.kind == "pair"}
+        left = {p: r.pairs for p, r in scored.items()}
+        for a, b in combinations(near, 2):
+            key = min(of[a], of[b]), max(of[a], of[b])
+            both = near[a] & near[b]
+            want = {"common_neighbours": len(both), "adamic_adar": sum(1 / math.log(len(near[m])) for m in both), "preferential_attachment": len(near[a]) * len(near[b])}[metric]
+            assert (key in scored) == (want > 0)
+            if want:
+                assert scored[key][metric] == pytest.approx(want)
+                left[key] -= 1
+        assert set(left.values()) == {0}
+    far = edges(spark, [("x", "m"), ("y", "m"), ("p", "q"), ("p", "r"), ("p", "s")])
+    assert rows(graph.predict_links(far, "x", 9, "preferential_attachment"))[0] == ("p", 3)
+
+
+def test_a_hub_makes_pairs_of_classes(spark):
+    e = spark.range(100_000).select(F.lit(-1).cast("bigint").alias("src"), F.col("id").alias("dst")).localCheckpoint()
+    pairs = graph.link_table(e, "jaccard").filter("kind = 'pair'").collect()
+    assert [(r.a, r.b, r.pairs, r.jaccard) for r in pairs] == [(0, 0, 4_999_950_000, 1.0)]
+
+
 def test_rmat_and_partition_measures(spark):
     g = graph.rmat(spark, 6, 4)
     assert g.count() == 256 and g.agg(F.max("src")).first()[0] < 64 and rows(g) == rows(graph.rmat(spark, 6, 4))
