@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loomgraph import queries as registered
+from loomgraph import session
 from loomgraph.functions import values
 from loomgraph.model import EdgeTable, Graph, NodeTable
 from loomgraph.operators import graph, kernel, knowledge, retrieval, typing, writes
@@ -167,6 +168,33 @@ def test_link_prediction(spark):
     assert [r.id for r in graph.predict_links(e, "x", 5).collect()] == ["y", "z"]
 
 
+def test_pattern_join_pairs_classes(spark, tmp_path):
+    """All parts alike, and parts without a brand: 3,000 parts are 9 million pairs, none of which may be formed."""
+    p = spark.range(3000).selectExpr("id p_partkey", "case when id % 100 <> 99 then 'b' end p_brand", "'t' p_type", "'n' p_name", "1 p_size")
+    p.write.parquet(str(tmp_path / "part.parquet"))
+    made = registered.QUERIES["pattern_join"](spark, str(tmp_path))
+    assert made.columns == ["x", "class", "links"]
+    got = made.collect()
+    assert {r.x for r in got} == {str(i) for i in range(3000) if i % 100 != 99} and {(r["class"], r.links) for r in got} == {("0", 2970)}
+
+
+def test_triangles_in_blocks(spark, monkeypatch):
+    """Counts against triangles spelt out, of numbers and strings, over ranges and batches of any size; a wedge is never a row."""
+    monkeypatch.setattr(graph, "WEDGES", 50)
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 100)
+    g = session.cut(graph.rmat(spark, 7, 6))
+    t = graph.triangles(g).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").count()
+    want = dict(rows(t))
+    assert len(want) > 30
+    pairs = session.cut(graph.neighbours(g))
+    assert dict(rows(graph._triangles_of(pairs))) == want
+    assert graph.triangle_count(g).first()[0] * 3 == sum(want.values())
+    k = dict(rows(pairs.groupBy("src").count()))
+    named = g.select(*[F.concat(F.lit("v"), F.col(c).cast("string")).alias(c) for c in ("src", "dst")])
+    assert {r.id: r.lcc for r in graph.lcc(named).collect() if r.lcc} == {f"v{v}": pytest.approx(2 * n / k[v] / (k[v] - 1)) for v, n in want.items()}
+    assert graph.triangle_count(edges(spark, [("a", "b"), ("b", "c")])).first()[0] == 0
+
+
 def test_link_classes_lose_no_pair(spark):
     from itertools import combinations
 
