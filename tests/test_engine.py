@@ -195,6 +195,35 @@ def test_triangles_in_blocks(spark, monkeypatch):
     assert graph.triangle_count(edges(spark, [("a", "b"), ("b", "c")])).first()[0] == 0
 
 
+def test_louvain_by_components(spark, monkeypatch):
+    """A component alone and beside others has the same communities for the same total, and only a component has to fit a task."""
+    two = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x")]
+    pairs = [(f"{p}{n}", f"{q}{n}") for n in range(3) for p, q in two]
+    monkeypatch.setattr(graph, "HELD_EDGES", 10)
+    m = dict(rows(graph.louvain(edges(spark, pairs))))
+    ids, start, to = graph._rows_of(*(graph.np.array(x) for x in zip(*pairs, strict=True)), True)
+    assert m == dict(zip(ids, ids[graph._louvain(start, to, 2.0 * len(pairs), 20, True)], strict=True)) and len(set(m.values())) >= 3
+    with pytest.raises(Exception, match="may hold"):
+        graph.louvain(edges(spark, [("h", str(x)) for x in range(11)])).collect()
+
+
+def test_cosine_join_in_cells(spark):
+    """Any cells and batches give the same neighbours, ties by id, and a task reads a cell."""
+    rng = graph.np.random.default_rng(1)
+    v = rng.integers(-2, 3, (300, 4)).astype(float) + 0.5
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    u = v / graph.np.linalg.norm(v, axis=1, keepdims=True)
+    s = (u @ u.T).round(9)
+    want = {i: [round(x, 6) for x in sorted((s[i, j] for j in range(300) if j != i), reverse=True)[:5]] for i in range(0, 300, 50)}
+    found = retrieval.cosine_join(e.filter("vec_id % 50 = 0"), e, 5, batch=16, cell=40)
+    got = {}
+    for r in found.orderBy("query", "place").collect():
+        assert r.query != r.id and r.score == pytest.approx(s[r.query, r.id], abs=1e-8)
+        got.setdefault(r.query, []).append(r.score)
+    assert {q: pytest.approx(x, abs=2e-6) for q, x in want.items()} == got
+    assert retrieval.cosine_join(e, e, 2, cell=100).count() == 600
+
+
 def test_link_classes_lose_no_pair(spark):
     from itertools import combinations
 
