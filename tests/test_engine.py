@@ -224,6 +224,40 @@ def test_cosine_join_in_cells(spark):
     assert retrieval.cosine_join(e, e, 2, cell=100).count() == 600
 
 
+def test_projection_sends_vectors_to_ranges(spark):
+    """Equal to the projection by hand, of numbers and strings and any ranges; no row of an edge has a vector."""
+    np = graph.np
+    pairs = [(i, (i * i + 3) % 50) for i in range(50)] + [(0, i) for i in range(1, 50)] + [(70, 70)]
+    for kind in ("bigint", "string"):
+        e = spark.createDataFrame([(a, b) for a, b in pairs], "src bigint, dst bigint").select(*[F.col(c).cast(kind).alias(c) for c in ("src", "dst")])
+        got = {int(r.id): np.array(r.embedding) for r in graph.fast_rp(e, 8, (0.5, 1.0, 2.0)).collect()}
+        ids = sorted({x for p in pairs for x in p})
+        drawn = graph.vertices(e).select("id", F.array(*[F.pmod(F.xxhash64(F.lit(42), F.col("id"), F.lit(i)), F.lit(6)) for i in range(8)]).alias("h")).collect()
+        v = {int(r.id): np.array([{0: 3**0.5, 1: -(3**0.5)}.get(h, 0.0) for h in r.h]) for r in drawn}
+        want = {i: 0.5 * v[i] for i in ids}
+        for w in (1.0, 2.0):
+            near = {i: [v[b] for a, b in [*pairs, *[(b, a) for a, b in pairs]] if a == i != b] for i in ids}
+            mean = {i: np.mean(x, axis=0) for i, x in near.items() if x and all(y is not None for y in x)}
+            v = {i: m / (np.linalg.norm(m) or 1) for i, m in mean.items()} | {70: None}
+            want = {i: x + w * v[i] if v.get(i) is not None else x for i, x in want.items()}
+        assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in ids)
+
+
+def test_health_and_edge_upserts_in_fewer_joins(spark, capfd):
+    """The results of odd graphs, and plans that move the edges once."""
+    nodes = spark.createDataFrame([("a", ["X"]), ("b", ["X"]), ("b", ["Y"]), ("lone", [])], "id string, labels array<string>")
+    e = spark.createDataFrame([("a", "b"), ("a", "gone"), ("gone", "a"), ("off", "gone"), ("a", None)], "src string, dst string")
+    g = Graph(spark, [NodeTable(nodes)], [EdgeTable("E", e)])
+    assert g.dangling_edges().count() == 4 and tuple(g.health().first()) == (3, 5, 4, 1)
+    fine = Graph(spark, [NodeTable(nodes)], [EdgeTable("E", e.filter("dst = 'b'"))])
+    assert tuple(fine.health().first()) == (3, 1, 0, 1) and fine.health()._jdf.queryExecution().executedPlan().toString().count("Join") <= 7
+    old = spark.createDataFrame([("E", "a", "b", {"k": "1", "l": "x"}), ("E", "a", "c", None)], "label string, src string, dst string, properties map<string,string>")
+    new = spark.createDataFrame([("E", "a", "b", {"k": "2"}, 1), ("E", "a", "d", {}, 2), ("E", "a", "b", None, 3)], "label string, src string, dst string, properties map<string,string>, seq bigint")
+    made = writes.upsert_edges(old, new)
+    assert {(r.src, r.dst): r.properties for r in made.collect()} == {("a", "b"): {"k": "2", "l": "x"}, ("a", "c"): {}, ("a", "d"): {}}
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_link_classes_lose_no_pair(spark):
     from itertools import combinations
 
