@@ -207,6 +207,40 @@ def test_louvain_by_components(spark, monkeypatch):
         graph.louvain(edges(spark, [("h", str(x)) for x in range(11)])).collect()
 
 
+def test_betweenness_by_components(spark, monkeypatch):
+    """Only a component has to fit a task; columns, turns and walks or products give what paths counted pair by pair do."""
+    two = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x")]
+    pairs = [(f"{p}{n}", f"{q}{n}") for n in range(3) for p, q in two]
+    monkeypatch.setattr(graph, "HELD_EDGES", 10)
+    monkeypatch.setattr(graph, "TASK_WORK", 5)
+    m = dict(rows(graph.betweenness(edges(spark, pairs), directed=False)))
+    assert m == {f"{v}{n}": 6.0 if v in "cx" else 0.0 for v in "abcxyz" for n in range(3)}
+    with pytest.raises(Exception, match="may hold"):
+        graph.betweenness(edges(spark, [("h", str(x)) for x in range(11)]))
+    rng, np = graph.np.random.default_rng(5), graph.np
+    monkeypatch.setattr(graph, "COLUMNS", 3)
+    for n, m, directed in ((30, 60, True), (30, 60, False), (40, 700, True), (40, 700, False), (50, 0, True)):
+        x, y = np.r_[rng.integers(0, n, m), np.arange(n - 1)], np.r_[rng.integers(0, n, m), np.arange(1, n)]
+        x, y = x[x != y], y[x != y]
+        s, d = (x, y) if directed else (np.r_[x, y], np.r_[y, x])
+        hops, ways = np.full((n, n), np.inf), np.eye(n)
+        np.fill_diagonal(hops, 0)
+        step = np.zeros((n, n))
+        np.add.at(step, (s, d), 1)
+        for k in range(1, n):
+            new = np.where(hops == k - 1, ways, 0) @ step
+            fresh = (new > 0) & np.isinf(hops)
+            hops[fresh], ways[fresh] = k, new[fresh]
+        want = np.zeros(n)
+        for v in range(n):
+            on = (hops[:, v, None] + hops[None, v] == hops) & np.isfinite(hops)
+            on[v], on[:, v] = False, False
+            want[v] = (ways[:, v, None] * ways[None, v])[on] @ (1 / ways[on])
+        out, into = graph._Rows(s, d, n), graph._Rows(d, s, n)
+        got = sum(graph._brandes(out, into, np.zeros(n, int), t, 4) for t in range(4))
+        assert got == pytest.approx(want)
+
+
 def test_cosine_join_in_cells(spark):
     """Any cells and batches give the same neighbours, ties by id, and a task reads a cell."""
     rng = graph.np.random.default_rng(1)
