@@ -160,6 +160,25 @@ def test_betweenness_and_communities(spark):
     assert dict(rows(graph.cdlp(two, 10)))["b"] == "a"
 
 
+def test_cdlp_rounds_in_parts(spark, monkeypatch):
+    """Labels as counted in plain Python, with parallel edges, loops and lone vertices; the tasks of a round grow with the edges."""
+    monkeypatch.setattr(graph, "ROUND_EDGES", 10, raising=False)
+    rng = graph.np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 40, (70, 2))] + [(1, 2), (1, 2), (50, 50), (7, 7)]
+    label = {v: v for p in pairs for v in p}
+    near = {v: [b if a == v else a for a, b in pairs if v in (a, b) and a != b] for v in label}
+    for _ in range(4):
+        label = {v: min(((-sum(label[x] == k for x in near[v]), k) for k in {label[x] for x in near[v]}), default=(0, label[v]))[1] for v in near}
+    sc = spark.sparkContext
+    sc.setJobGroup("cdlp", "cdlp")
+    got = dict(rows(graph.cdlp(spark.createDataFrame(pairs, "src bigint, dst bigint"), 4)))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == label and got[50] == 50
+    status = sc.statusTracker()
+    stages = [status.getStageInfo(x) for j in status.getJobIdsForGroup("cdlp") for x in status.getJobInfo(j).stageIds]
+    assert max(x.numTasks for x in stages if x) >= 14
+
+
 def test_link_prediction(spark):
     e = edges(spark, [("x", "m1"), ("x", "m2"), ("x", "m3"), ("y", "m1"), ("y", "m2"), ("y", "m3"), ("z", "m1")])
     s = {(r.a, r.b): r for r in graph.link_scores(e).collect()}
