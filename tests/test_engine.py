@@ -179,6 +179,28 @@ def test_cdlp_rounds_in_parts(spark, monkeypatch):
     assert max(x.numTasks for x in stages if x) >= 14
 
 
+def test_rank_from_seeds_is_worked_out_where_it_comes_to(spark, monkeypatch):
+    """The same ranks as on the whole graph, for any number of rounds, and only what is reached is written round by round."""
+    rng = graph.np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 30, (40, 2))] + [(1, 2), (1, 2), (3, 3), (100, 101), (102, 101)]
+    e = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    vector = lambda *ids: spark.createDataFrame([(x, 1.0 + x % 2) for x in ids], "id bigint, weight double")
+    for rounds, seeds in ((0, (1,)), (1, (1, 7)), (3, (1, 101, 999)), (2, (999,))):
+        whole = dict(rows(graph.pagerank(e, graph.vertices(e), rounds=rounds, tolerance=None, teleport=vector(*seeds))))
+        assert dict(rows(graph.pagerank(e, rounds=rounds, tolerance=None, teleport=vector(*seeds)))) == pytest.approx(whole)
+    far = e.unionByName(spark.range(1000, 3000).selectExpr("id src", "id + 1 dst"))
+    written, cut = [], graph.session.cut
+
+    def count(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph.session, "cut", count)
+    got = retrieval.explore_from(far, [100, 102], 5, 4).collect()
+    assert [r.id for r in got] == [101] and sum(n > 100 for n in written) == 1
+
+
 def test_link_prediction(spark):
     e = edges(spark, [("x", "m1"), ("x", "m2"), ("x", "m3"), ("y", "m1"), ("y", "m2"), ("y", "m3"), ("z", "m1")])
     s = {(r.a, r.b): r for r in graph.link_scores(e).collect()}
